@@ -1,0 +1,7 @@
+"""No streaming-only operator exists in the covered feature set.
+
+Everything in ``sluiceway.functions`` and the row operators in
+``sluiceway.operators.features`` / ``clean`` are stateless projections and
+filters, so they apply unchanged to a DataFrame made by ``readStream``
+(``tests/test_features.py`` runs one).
+"""
