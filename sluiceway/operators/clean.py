@@ -113,6 +113,14 @@ def dedup_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def dedup_counted(df: DataFrame, name: str = "copies") -> DataFrame:
+    """Full-row de-duplication that also tells how many copies each row had.
+
+    Their sum is the number of input rows, so an audit needs no second scan.
+    """
+    return df.groupBy(*[as_column(c) for c in df.columns]).agg(F.count("*").alias(name))
+
+
 def clean_connections(df: DataFrame) -> DataFrame:
     """Typed connection records: labels, numerics, row filter, nulls to 0.0.
 

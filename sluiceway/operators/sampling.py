@@ -136,16 +136,32 @@ def split_random(df: DataFrame, split: Split) -> dict[str, DataFrame]:
     return dict(zip(split.parts, frames, strict=True))
 
 
-def split_column(key: Column | str, split: Split, buckets: int = 100) -> Column:
-    """Name of the part a key falls into, by hash bucket."""
-    bucket = hash_bucket(key, buckets)
-    out, edge = None, 0.0
+def _part_of(position: Column, split: Split, whole: int | float) -> Column:
+    """Name of the part that a position in [0, whole) falls into."""
     names = list(split.parts)
+    out, edge = None, 0.0
     for name in names[:-1]:
         edge += split.parts[name]
-        cond = bucket < F.lit(round(edge * buckets))
-        out = F.when(cond, name) if out is None else out.when(cond, name)
-    return F.lit(names[-1]) if out is None else out.otherwise(names[-1])
+        limit = round(edge * whole) if isinstance(whole, int) else edge * whole
+        branch = (position < F.lit(limit), F.lit(name))
+        out = F.when(*branch) if out is None else out.when(*branch)
+    return F.lit(names[-1]) if out is None else out.otherwise(F.lit(names[-1]))
+
+
+def split_column(key: Column | str, split: Split, buckets: int = 100) -> Column:
+    """Name of the part a key falls into, by hash bucket."""
+    return _part_of(hash_bucket(key, buckets), split, buckets)
+
+
+def split_by_row(df: DataFrame, split: Split, name: str = "split") -> DataFrame:
+    """Add the part name by a hash of the whole row; equal rows share a part."""
+    return df.withColumn(name, _part_of(uniform(*df.columns, seed=split.seed), split, 1.0))
+
+
+def split_drawn(df: DataFrame, split: Split, name: str = "split") -> DataFrame:
+    """Add the part name by a random draw per row. Write or checkpoint the result before it
+    is used more than once, which freezes the draws."""
+    return df.withColumn(name, _part_of(F.rand(split.seed), split, 1.0))
 
 
 def split_hash(df: DataFrame, key: str, split: Split, name: str = "split") -> DataFrame:

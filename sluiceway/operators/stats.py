@@ -234,14 +234,29 @@ def skew_proxy(stats: DataFrame) -> DataFrame:
     return stats.withColumn("skew", F.when(usable, F.coalesce(ratio, F.lit(0.0))).otherwise(0.0))
 
 
+def skew_table(
+    df: DataFrame, cols: list[str], accuracy: int = 5_000, exact: bool = False
+) -> DataFrame:
+    """(column, mean, std, median, skew), with approximate or exact medians."""
+    if not exact:
+        return skew_proxy(column_stats(df, cols, skew_stats(accuracy)))
+    medians = exact_medians(df, cols)
+    moments = column_stats(df, cols, lambda c: {"mean": F.avg(c), "std": F.stddev_pop(c)})
+    pairs = [x for c, m in medians.items() for x in (F.lit(c), F.lit(m).cast("double"))]
+    return skew_proxy(
+        moments.withColumn("median", F.element_at(F.create_map(*pairs), F.col("column")))
+    )
+
+
 def fit_log_skewed(
-    df: DataFrame, threshold: float, accuracy: int = 5_000, except_: tuple[str, ...] = LABELS
+    df: DataFrame, threshold: float, accuracy: int = 5_000, exact: bool = False,
+    except_: tuple[str, ...] = LABELS,
 ) -> list[str]:
     """Columns whose skew proxy exceeds the threshold (the proxy never exceeds 1)."""
     cols = double_columns(df, except_)
     if not cols:
         return []
-    stats = _by_column(skew_proxy(column_stats(df, cols, skew_stats(accuracy))))
+    stats = _by_column(skew_table(df, cols, accuracy, exact))
     return [c for c in cols if stats[c]["skew"] > threshold]
 
 
