@@ -1,0 +1,225 @@
+"""Readers, writers and the preparation jobs, over data that Spark derives from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sluiceway import sources
+from sluiceway.catalog.registry import query, r6, table
+from sluiceway.catalog.rows import parquet_flows
+from sluiceway.operators import clean
+from sluiceway.plans import prepare_connections, prepare_csv_flows, prepare_flows
+from sluiceway.specs import CONNECTION_COLUMNS, FLOW_COLUMNS
+
+
+def _connection_text(spark, sf_dir) -> DataFrame:
+    """Events as 43-column connection text: gaps, negative bytes and odd labels included."""
+    names = {"view": "Normal.", "click": "satan", "error": "Neptune.", "purchase": "ftp_write",
+             "signup": "mystery"}
+    label = F.lit(None)
+    for event, attack in names.items():
+        label = F.when(F.col("event_type") == event, attack).otherwise(label)
+    made = {
+        "duration": F.when(F.col("user_id") == 0, "x").otherwise(F.col("user_id").cast("string")),
+        "protocol_type": F.when(F.col("event_type") == "view", "udp").otherwise("tcp"),
+        "service": F.col("event_type"),
+        "flag": F.when(F.col("value") > 50, "SF").otherwise("S0"),
+        "src_bytes": F.col("value").cast("string"),
+        "dst_bytes": (F.col("user_id") - 5).cast("string"),
+        "hot": F.when(F.col("event_type") != "click", F.col("user_id").cast("string")),
+        "label": label,
+        "difficulty": F.col("event_id").cast("string"),
+    }
+    zero = F.lit("0")
+    return table(spark, sf_dir, "events").select(
+        *[made.get(c, zero).alias(c) for c in CONNECTION_COLUMNS]
+    )
+
+
+_CONNECTIONS = """
+    x as (select event_id::varchar as difficulty, user_id::double as duration, value as src_bytes,
+              (user_id - 5)::double as dst_bytes,
+              case event_type when 'click' then 0 else user_id end::double as hot,
+              case event_type when 'view' then 'normal' when 'click' then 'satan'
+                  when 'error' then 'neptune' when 'purchase' then 'ftp_write' else 'mystery' end
+                  as label_raw,
+              (event_type <> 'view')::int::double as label_binary,
+              case event_type when 'view' then 'normal' when 'click' then 'probe'
+                  when 'error' then 'dos' when 'purchase' then 'r2l' else 'unknown' end
+                  as attack_category
+          from events where user_id >= 5 and value >= 0)
+"""
+
+
+@query(f"with {_CONNECTIONS} select * from x")
+def positional_csv(spark, sf_dir):
+    """Written as headerless text, read back by position, cleaned."""
+    path = sources.shared_dir(spark, "connections")
+    _connection_text(spark, sf_dir).write.csv(path)
+    raw = sources.read_positional_csv(spark, path, CONNECTION_COLUMNS)
+    return clean.clean_connections(raw).select(
+        "difficulty", "duration", "src_bytes", "dst_bytes", "hot", "label_raw", "label_binary",
+        "attack_category",
+    )
+
+
+@query(f"""
+    with {_CONNECTIONS}, t as (select label_binary as label, attack_category, count(*) as rows
+                               from x group by all)
+    select *, 'train' as part from t union all select *, 'test' from t
+""")
+def prepare_connections_job(spark, sf_dir):
+    path = sources.shared_dir(spark, "connections")
+    _connection_text(spark, sf_dir).write.csv(path)
+    out = sources.shared_dir(spark, "connections-out")
+    return prepare_connections(spark, path, path, out)["distribution"]
+
+
+def _write_csv_layouts(spark, sf_dir) -> str:
+    """Order lines in two header layouts: other column order, one column missing, odd names."""
+    root = sources.shared_dir(spark, "csv-layouts")
+    li = table(spark, sf_dir, "lineitem")
+    cols = {
+        " Flow ID": F.col("l_orderkey").cast("string"),
+        "Flow Duration": F.format_number("l_extendedprice", 2),
+        "Total Fwd Packets": F.col("l_quantity").cast("string"),
+        "Rate": F.when(F.col("l_discount") == 0, "Infinity").otherwise(
+            F.col("l_discount").cast("string")),
+        "LABEL ": F.when(F.col("l_returnflag") == "A", "BENIGN").when(
+            F.col("l_linestatus") == "O", "DoS"),
+    }
+    a = li.filter(F.col("l_linenumber") <= 3).select(*[c.alias(n) for n, c in cols.items()])
+    b = li.filter(F.col("l_linenumber") > 3).select(
+        *[c.alias(n) for n, c in reversed(cols.items()) if n != "Rate"])
+    for name, df in (("a", a), ("b", b)):
+        df.write.csv(f"{root}/{name}", header=True)
+    return f"{root}/*/*.csv"
+
+
+_CSV_UNION = """
+    l as (select distinct l_orderkey, l_extendedprice as "Flow Duration",
+              l_quantity as "Total Fwd Packets",
+              case when l_linenumber <= 3 then l_discount end as rate0,
+              case when l_returnflag = 'A' then 'BENIGN' when l_linestatus = 'O' then 'DoS' end
+                  as "Label"
+          from lineitem),
+    x as (select "Flow Duration", "Total Fwd Packets", nullif(rate0, 0) as "Rate", "Label" from l)
+"""
+
+
+@query(f"""with {_CSV_UNION} select * from x where "Label" is not null""")
+def csv_union(spark, sf_dir):
+    """Files with drifting headers, united, de-duplicated, stripped of identifiers, parsed."""
+    raw = sources.read_csv_union(spark, _write_csv_layouts(spark, sf_dir))
+    return clean.clean_flow_csv(raw)
+
+
+@query(f"""
+    with {_CSV_UNION}
+    select (select count(*) from lineitem) as raw_rows, count(*) as dedup_rows,
+           count("Label") as labelled_rows from x
+""")
+def prepare_csv_flows_job(spark, sf_dir):
+    out = sources.shared_dir(spark, "csv-out")
+    return prepare_csv_flows(spark, _write_csv_layouts(spark, sf_dir), out, impute="mean")["audit"]
+
+
+@query("""
+    select case when l_linestatus = 'O' then 0 else 1 end::double as label, count(*) as rows
+    from lineitem where l_tax <> 0 group by 1
+""")
+def prepare_flows_job(spark, sf_dir):
+    """All classes kept whole, so that the row counts can be checked."""
+    raw = sources.write_table(parquet_flows(spark, sf_dir), sources.shared_dir(spark, "raw-flows"))
+    out = sources.shared_dir(spark, "flows-out")
+    return prepare_flows(spark, raw, out, fractions={0.0: 1.0, 1.0: 1.0})["distribution"]
+
+
+@query("select case when l_linestatus = 'O' then 0 end as attack, l_quantity as dur from lineitem")
+def read_available(spark, sf_dir):
+    """A flow table with only two of the wanted columns, and one nobody asked for."""
+    flows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_tax").alias("extra"), F.col("l_quantity").alias("dur"),
+        F.when(F.col("l_linestatus") == "O", 0).alias("attack"),
+    )
+    path = sources.write_table(flows, sources.shared_dir(spark, "available"))
+    return sources.read_available(spark, path, FLOW_COLUMNS, required=("attack",))
+
+
+@query("select o_orderkey, o_totalprice from orders")
+def read_columns(spark, sf_dir):
+    path = f"{sf_dir}/orders.parquet"
+    return sources.read_parquet_cols(spark, path, ["o_orderkey", "o_totalprice"])
+
+
+def uflow(spark, sf_dir) -> DataFrame:
+    """Line items in the role of common flow records (the inputs' own formulas are not public)."""
+    li = table(spark, sf_dir, "lineitem")
+    src = F.when(F.col("l_returnflag") == "A", "nsl").when(F.col("l_returnflag") == "N", "cic")
+    return li.select(
+        F.col("l_quantity").alias("duration_s"), F.col("l_extendedprice").alias("src_bytes"),
+        F.col("l_partkey").alias("dst_bytes"),
+        (F.col("l_extendedprice") + F.col("l_partkey")).alias("total_bytes"),
+        F.when(F.col("l_discount") == 0, float("nan")).otherwise(F.col("l_tax") / F.col("l_discount"))
+        .alias("bytes_ratio"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("bytes_per_sec"),
+        F.log1p("l_quantity").alias("log_duration"), F.log1p("l_extendedprice").alias("log_src_bytes"),
+        (F.col("l_linenumber") < 3).cast("int").alias("proto_tcp"),
+        F.when(F.col("l_linenumber") > 3, 1).alias("proto_udp"),
+        (F.col("l_linenumber") == 3).cast("string").alias("proto_icmp"),
+        ((F.col("l_quantity") > 30) | (F.col("l_discount") > 0.08)).cast("int").alias("label"),
+        src.alias("kind"),
+    )
+
+
+@query("""
+    select l_quantity as duration_s, l_extendedprice as src_bytes, l_partkey::double as dst_bytes,
+           l_extendedprice + l_partkey as total_bytes,
+           case when l_discount = 0 then 0 else l_tax / l_discount end as bytes_ratio,
+           l_extendedprice / l_quantity as bytes_per_sec, round(ln(1 + l_quantity), 6) as log_duration,
+           round(ln(1 + l_extendedprice), 6) as log_src_bytes,
+           (l_linenumber < 3)::int::double as proto_tcp, (l_linenumber > 3)::int::double as proto_udp,
+           0.0::double as proto_icmp,
+           (l_quantity > 30 or l_discount > 0.08::double)::int::double as label, 'pool' as src_ds
+    from lineitem
+""")
+def read_uflow(spark, sf_dir):
+    path = sources.write_table(uflow(spark, sf_dir).drop("kind"),
+                               sources.shared_dir(spark, "uflow"))
+    out = sources.read_uflow(spark, path, "pool")
+    return out.withColumns({c: r6(c) for c in ("log_duration", "log_src_bytes")})
+
+
+@query("select event_id, event_type, value from events")
+def write_and_read(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    return spark.read.parquet(sources.write_table(df, sources.shared_dir(spark, "written")))
+
+
+@query("select o_orderkey, o_totalprice, 'F' as holdout, 'r1' as run_id from orders")
+def write_run(spark, sf_dir):
+    """Keys in the path come back as partition columns."""
+    root = sources.shared_dir(spark, "runs")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    sources.write_run(o, root, run_id="r1", holdout="F")
+    return spark.read.parquet(root)
+
+
+@query("select event_type, count(*) as rows, true as stamped from events group by 1")
+def stamp(spark, sf_dir):
+    counts = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("rows"))
+    out = sources.stamp(counts)
+    return out.select("event_type", "rows", F.col("saved_at").isNotNull().alias("stamped"))
+
+
+@query("""
+    select l_orderkey, l_extendedprice as "A", l_quantity as "A__dup2", l_tax as "B" from lineitem
+""")
+def normalize_headers(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", F.col("l_extendedprice").alias("A"), F.col("l_quantity").alias(" A"),
+        F.col("l_tax").alias("B "),
+    )
+    return sources.normalize_headers(li)
+

@@ -1,0 +1,212 @@
+"""Feature stages, model fits, searches and ensembles on the given tables.
+
+Forests, boosted trees and searches are smaller than their presets here, which are for
+training; the data is never reduced.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import OneHotEncoder, PolynomialExpansion
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sluiceway import sources
+from sluiceway.catalog.jobs import uflow
+from sluiceway.catalog.registry import events_by_category, query, r6, table
+from sluiceway.operators import ensemble, sampling, stages, tuning
+from sluiceway.plans import (
+    stack,
+    stack_leave_one_source_out,
+    train_expert,
+    train_logit_grid,
+    train_vote,
+)
+from sluiceway.plans.expert import expert_stages
+from sluiceway.specs import TRAIN_VAL
+
+_SMALL = dict(numTrees=5, maxDepth=5, maxBins=32)
+
+
+@query("""
+    select l_orderkey, l_linenumber, round(l_quantity / (select stddev_samp(l_quantity) from lineitem), 6) as q,
+           round(l_tax / (select stddev_samp(l_tax) from lineitem), 6) as t
+    from lineitem
+""")
+def scaled_features(spark, sf_dir):
+    """Assembled and scaled to unit deviation, without centring."""
+    li = table(spark, sf_dir, "lineitem")
+    flow = Pipeline(stages=[
+        stages.assembler(["l_quantity", "l_tax"], "features_raw", "keep"), stages.scaler(),
+    ])
+    out = flow.fit(li).transform(li).withColumn("f", vector_to_array("features"))
+    return out.select("l_orderkey", "l_linenumber", r6(F.col("f")[0]).alias("q"),
+                      r6(F.col("f")[1]).alias("t"))
+
+
+@query(f"""
+    with c as (select event_type, row_number() over (order by count(*) desc, event_type) - 1 as i
+               from events group by 1)
+    select event_id, i::double as idx,
+           [{", ".join(f"(i = {k})::int::double" for k in range(7))}] as hot
+    from events join c using (event_type)
+""")
+def indexed_one_hot(spark, sf_dir):
+    """Index by frequency, one-hot with a slot for unseen values at either stage."""
+    e = table(spark, sf_dir, "events")
+    flow = Pipeline(stages=[
+        stages.indexer("event_type", "idx"),
+        OneHotEncoder(inputCols=["idx"], outputCols=["vec"], dropLast=False, handleInvalid="keep"),
+    ])
+    out = flow.fit(e).transform(e)
+    return out.select("event_id", "idx", vector_to_array("vec").alias("hot"))
+
+
+@query("""
+    select o_orderkey, [x, x * x, y, x * y, y * y] as poly
+    from (select o_orderkey, o_totalprice / 1e6::double as x, o_custkey / 1e3::double as y from orders)
+""")
+def polynomial_terms(spark, sf_dir):
+    """All terms up to degree 2."""
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", (F.col("o_totalprice") / 1e6).alias("x"), (F.col("o_custkey") / 1e3).alias("y")
+    )
+    flow = Pipeline(stages=[
+        stages.assembler(["x", "y"]),
+        PolynomialExpansion(degree=2, inputCol="features", outputCol="poly_features"),
+    ])
+    return flow.fit(o).transform(o).select(
+        "o_orderkey", vector_to_array("poly_features").alias("poly")
+    )
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    """Embeddings as training table: label 0 is normal, the others fall into four categories."""
+    category = F.when(F.col("label") == 0, "normal").when(F.col("label") <= 3, "dos").when(
+        F.col("label") <= 6, "probe").when(F.col("label") <= 8, "r2l").otherwise("u2r")
+    e = table(spark, sf_dir, "embeddings")
+    width = e.select(F.size("embedding").alias("n")).first()["n"]
+    wide = e.select(
+        "vec_id", (F.col("label") > 0).cast("double").alias("label"),
+        category.alias("attack_category"),
+        *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(width)],
+    )
+    made = stages.assembler([f"x{i}" for i in range(width)]).transform(wide)
+    return made.select("vec_id", "label", "attack_category", "features")
+
+
+@query("""
+    select 64::bigint as width, count(*) as rows from embeddings
+""")
+def vector_size(spark, sf_dir):
+    df = _vectors(spark, sf_dir)
+    return df.agg(F.count("*").alias("rows")).withColumn(
+        "width", F.lit(stages.vector_size(df)).cast("bigint")
+    )
+
+
+@query()
+def selected_features(spark, sf_dir):
+    """The eight best features by F-test."""
+    df = _vectors(spark, sf_dir)
+    model = stages.top_features(8, continuous=True).fit(df)
+    return model.transform(df).select("vec_id", "label", "sel_features")
+
+
+def _tagged(raw: DataFrame) -> DataFrame:
+    parts = []
+    for tag in ("nsl", "cic", "bot"):
+        rows = raw.filter(F.coalesce("kind", F.lit("bot")) == tag)
+        parts.append(sources.uflow_from(rows, tag))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _experts(pool: DataFrame) -> dict:
+    return {
+        tag: expert_stages(tag, **_SMALL).fit(pool.filter(F.col("src_ds") == tag))
+        for tag in ("nsl", "cic", "bot")
+    }
+
+
+@query()
+def rf_expert(spark, sf_dir):
+    """Metrics of every part of the split."""
+    return train_expert(sources.uflow_from(uflow(spark, sf_dir)), "bot", **_SMALL)["metrics"]
+
+
+@query()
+def score_experts(spark, sf_dir):
+    pool = _tagged(uflow(spark, sf_dir))
+    return ensemble.score_all(pool, _experts(pool), ["src_ds", "label"])
+
+
+@query()
+def stack_meta(spark, sf_dir):
+    pool = _tagged(uflow(spark, sf_dir))
+    return stack(pool, _experts(pool), maxIter=30)["metrics"]
+
+
+@query()
+def stack_holdout(spark, sf_dir):
+    """Leave-one-source-out: pooled, per source and unseen source."""
+    pool = _tagged(uflow(spark, sf_dir))
+    return stack_leave_one_source_out(pool, _experts(pool), maxIter=30)
+
+
+@query()
+def vote_ensemble(spark, sf_dir):
+    df = sampling.split_hash(_vectors(spark, sf_dir), "vec_id", TRAIN_VAL)
+    train, test = (df.filter(F.col("split") == s).drop("split") for s in ("train", "val"))
+    return train_vote(
+        train, test, preset="vote_small", row_key=["vec_id"],
+        overrides={"rf": {"numTrees": 5, "maxDepth": 5}, "lr": {"maxIter": 20},
+                   "gbt": {"maxIter": 3, "maxDepth": 3}},
+    )["predictions"]
+
+
+@query()
+def logit_grid(spark, sf_dir):
+    """A row per configuration, with its tuned threshold."""
+    df = _vectors(spark, sf_dir)
+    found = train_logit_grid(
+        df, df, row_key="vec_id", grid=[(4, 0.01), (8, 0.01)], continuous=True, maxIter=20
+    )
+    return found["search"].trials
+
+
+@query()
+def cross_validated(spark, sf_dir):
+    """Average F1 of every setting of a small forest grid."""
+    df = stages.indexer("attack_category", "category_label").fit(
+        _vectors(spark, sf_dir)).transform(_vectors(spark, sf_dir))
+    rf = stages.forest("vote_small", "category_label", numTrees=4, maxDepth=3)
+    fitted = tuning.cv_tune(df, rf, "category_label", {"numTrees": [3, 4], "maxDepth": [2, 3]},
+                            fraction=1.0)
+    rows = [
+        (pm[rf.numTrees], pm[rf.maxDepth], float(m))
+        for pm, m in zip(fitted.getEstimatorParamMaps(), fitted.avgMetrics, strict=True)
+    ]
+    return sources.small_table(spark, rows, "num_trees int, max_depth int, f1 double")
+
+
+@query()
+def boosted_trees(spark, sf_dir):
+    """Scores of a weighted binary boosted model on event categories."""
+    df = _vectors(spark, sf_dir)
+    model = stages.boosted("vote_small", maxIter=3, maxDepth=3).fit(df)
+    return model.transform(df).select("vec_id", "label", "prediction")
+
+
+@query("select event_type, count(*) as rows from events group by 1")
+def model_round_trip(spark, sf_dir):
+    """A saved and loaded indexer gives the classes the same index as the fitted one."""
+    e = events_by_category(spark, sf_dir)
+    fitted = Pipeline(stages=[stages.indexer("event_type", "idx")]).fit(e)
+    loaded = sources.load_model(
+        sources.save_model(fitted, sources.shared_dir(spark, "model"))
+    )
+    both = fitted.transform(e).select("event_id", "event_type", F.col("idx").alias("a")).join(
+        loaded.transform(e).select("event_id", F.col("idx").alias("b")), "event_id"
+    )
+    return both.filter(F.col("a") == F.col("b")).groupBy("event_type").agg(F.count("*").alias("rows"))

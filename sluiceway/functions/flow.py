@@ -34,15 +34,12 @@ def bucket_port(c: Column | str) -> Column:
 def flag_value(c: Column | str) -> Column:
     """Integer value of hex text (``0x`` optional); null, empty or too large gives null.
 
-    Only the leading hex digits count, as in ``conv``. Values beyond 16 significant digits
-    would overflow ``conv``, so they are cut off before it.
+    Only the leading hex digits count, as in ``conv``. More than 16 significant digits
+    would overflow ``conv``; the pattern matches nothing then.
     """
     text = F.replace(F.lower(F.trim(as_column(c))), F.lit("0x"), F.lit(""))
-    digits = F.regexp_extract(text, "^0*([0-9a-f]*)", 1)
-    return F.when(
-        (F.length(digits) > 0) & (F.length(digits) <= 16),
-        F.conv(digits, 16, 10).try_cast("bigint"),
-    )
+    digits = F.regexp_extract(text, "^0*([0-9a-f]{0,16})(?![0-9a-f])", 1)
+    return F.conv(digits, 16, 10).try_cast("bigint")
 
 
 def flag_bits(c: Column | str, masks: dict[str, int] | None = None) -> dict[str, Column]:
@@ -83,6 +80,5 @@ def clipped_log1p(c: Column | str, ceiling: float = LOG_CEILING) -> Column:
 
     NaN sorts above every number in Spark, so it is clipped to the ceiling like +Inf.
     """
-    x = as_column(c)
-    clipped = F.when(x.isNull() | (x < 0.0), 0.0).when(x > ceiling, ceiling).otherwise(x)
-    return F.log1p(clipped)
+    floor = F.greatest(as_column(c), F.lit(0.0))
+    return F.log1p(F.least(floor, F.lit(float(ceiling))))

@@ -28,13 +28,16 @@ def coerce_double(c: Column | str, default: float = 0.0) -> Column:
     return F.coalesce(as_double(c), F.lit(default))
 
 
-def nonfinite_to_null(c: Column | str) -> Column:
-    """NaN, +Inf and -Inf become null."""
-    x = as_column(c)
-    return F.when(~F.isnan(x) & ~x.isin(_INF, -_INF), x)
+def is_finite(c: Column | str) -> Column:
+    """True for a number that is neither null, NaN nor infinite; never null itself.
 
+    NaN sorts above infinity in Spark, so one comparison covers all cases. Naming the input
+    once matters: a filter is pushed through projections by repeating their expressions.
+    """
+    return F.coalesce(F.abs(as_column(c)) < F.lit(_INF), F.lit(False))
 
-def is_finite(c: Column | str) -> Column:
-    """True for a number that is neither null, NaN nor infinite; never null itself."""
+
+def nonfinite_to_null(c: Column | str) -> Column:
+    """NaN, +Inf and -Inf become null."""
     x = as_column(c)
-    return x.isNotNull() & ~F.isnan(x) & (x != F.lit(_INF)) & (x != F.lit(-_INF))
+    return F.when(F.abs(x) < F.lit(_INF), x)

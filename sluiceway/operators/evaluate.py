@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sluiceway.functions.parsing import as_column
 from sluiceway.sources.sinks import stamp
+from sluiceway.sources.workspace import lineage_cut
 
 BINARY = (0.0, 1.0)
 
@@ -154,50 +155,51 @@ def metrics_row(
 
 # -- ranking metrics --------------------------------------------------------
 
-def running_counts(
-    df: DataFrame, score: str, label: str, buckets: int = 512, small: int = 200_000
-) -> DataFrame:
-    """Per distinct score: pos, neg and both counts over all lower scores.
-
-    Rows are first added up per score. Above ``small`` distinct scores the running sum is
-    split: approximate quantiles of the distinct scores cut them into at most ``buckets``
-    ranges of similar size, each range is summed on its own, and the totals of the (few)
-    ranges before it are added. The result is exact for any cut points, and no task orders
-    more than one range. NaN and null scores are left out.
-    """
+def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
+    """(score, pos, neg) per distinct score. NaN and null scores are left out."""
     x, y = as_column(score).cast("double"), as_column(label).cast("double")
-    per_score = (
+    return (
         df.select(x.alias("score"), y.alias("y"))
         .filter(F.col("score").isNotNull() & ~F.isnan("score"))
         .groupBy("score")
         .agg(F.count_if(F.col("y") == 1.0).alias("pos"), F.count_if(F.col("y") == 0.0).alias("neg"))
     )
+
+
+def running_counts(per_score: DataFrame, buckets: int = 512, small: int = 200_000) -> DataFrame:
+    """To ``score_counts``: both counts over all lower scores.
+
+    Above ``small`` distinct scores the running sum is split: approximate quantiles of the
+    distinct scores cut them into at most ``buckets`` ranges of similar size, each range is
+    summed on its own, and the totals of the (few) ranges before it are added. The result
+    is exact for any cut points, and no task orders more than one range.
+    """
     summary = per_score.agg(
         F.count("*").alias("n"),
         F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 20 * buckets)
         .alias("cuts"),
     ).first()
-    if summary["n"] <= small:
-        tagged = per_score.withColumn("range", F.lit(0.0))
-    else:
-        cuts = sorted({c for c in summary["cuts"] if math.isfinite(c)})
-        splits = [float("-inf"), *cuts, float("inf")]
-        tagged = Bucketizer(splits=splits, inputCol="score", outputCol="range").transform(per_score)
     before = "rows between unbounded preceding and 1 preceding"
-    within = tagged.select(
-        "score", "pos", "neg", "range",
-        *[F.expr(f"coalesce(sum({c}) over (partition by range order by score {before}), 0)")
-          .alias(f"{c}_in") for c in ("pos", "neg")],
-    )
-    # At most `buckets` rows from here on.
-    offsets = (
-        tagged.groupBy("range").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-        .select(
-            "range",
-            F.expr(f"coalesce(sum(p) over (order by range {before}), 0)").alias("pos_off"),
-            F.expr(f"coalesce(sum(n) over (order by range {before}), 0)").alias("neg_off"),
+
+    def running(c: str, over: str) -> Column:
+        return F.expr(f"coalesce(sum({c}) over ({over} {before}), 0)")
+
+    if summary["n"] <= small:
+        return per_score.select(
+            "*", *[running(c, "order by score").alias(f"{c}_below") for c in ("pos", "neg")]
         )
-    )
+    cuts = sorted({c for c in summary["cuts"] if math.isfinite(c)})
+    ranges = Bucketizer(
+        splits=[float("-inf"), *cuts, float("inf")], inputCol="score", outputCol="range"
+    ).transform(per_score)
+    within = ranges.select("*", *[
+        running(c, "partition by range order by score").alias(f"{c}_in") for c in ("pos", "neg")
+    ])
+    # At most `buckets` rows, as there are no more ranges.
+    offsets = ranges.groupBy("range").agg(
+        F.sum("pos").alias("p"), F.sum("neg").alias("n")
+    ).select("range", running("p", "order by range").alias("pos_off"),
+             running("n", "order by range").alias("neg_off"))
     return within.join(F.broadcast(offsets), "range").select(
         "score", "pos", "neg",
         (F.col("pos_in") + F.col("pos_off")).alias("pos_below"),
@@ -208,11 +210,14 @@ def running_counts(
 def ranking_metrics(df: DataFrame, score: str, label: str, **kw) -> DataFrame:
     """One row: positives, negatives, exact ROC-AUC and PR-AUC (trapezoids, ties as one point).
 
-    The areas are 0.0 without positives, and so is ROC-AUC without negatives.
+    The areas are 0.0 without positives, and so is ROC-AUC without negatives. The table is
+    read once; the counts per score are written to the shared folder for the two steps
+    that follow.
     """
-    counts = running_counts(df, score, label, **kw)
-    totals = counts.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    all_pos, all_neg = totals.select("pos").scalar(), totals.select("neg").scalar()
+    per_score = lineage_cut(score_counts(df, score, label))
+    counts = running_counts(per_score, **kw)
+    all_pos = per_score.agg(F.sum("pos")).scalar()
+    all_neg = per_score.agg(F.sum("neg")).scalar()
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     # Predicting every score from here upwards as positive gives (tp, fp); without the
     # score itself (tp0, fp0). At the top there is nothing above: precision continues level.

@@ -105,9 +105,11 @@ def flow_features(
     })
 
     numeric = [*measures, *flags, *FLOW_DERIVED]
+    # Flags are 0 or 1 and logged columns lie in [0, log1p(ceiling)], so only the other
+    # numbers can be anything but finite; they are final already.
+    out = filter_finite(out, [c for c in numeric if c not in (*flags, *FLOW_LOGGED)])
     order = [label, *FLOW_CATEGORICAL, *numeric]
-    out = out.select(*[
+    return out.select(*[
         (clipped_log1p(c) if c in FLOW_LOGGED else as_column(c)).alias(c)
         for c in order if c in out.columns
     ])
-    return filter_finite(out, numeric)

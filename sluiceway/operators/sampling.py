@@ -153,9 +153,12 @@ def split_column(key: Column | str, split: Split, buckets: int = 100) -> Column:
     return _part_of(hash_bucket(key, buckets), split, buckets)
 
 
-def split_by_row(df: DataFrame, split: Split, name: str = "split") -> DataFrame:
-    """Add the part name by a hash of the whole row; equal rows share a part."""
-    return df.withColumn(name, _part_of(uniform(*df.columns, seed=split.seed), split, 1.0))
+def split_by_row(
+    df: DataFrame, split: Split, name: str = "split", skip: tuple[str, ...] = ()
+) -> DataFrame:
+    """Add the part name by a hash of the row's columns; equal rows share a part."""
+    u = uniform(*[c for c in df.columns if c not in skip], seed=split.seed)
+    return df.withColumn(name, _part_of(u, split, 1.0))
 
 
 def split_drawn(df: DataFrame, split: Split, name: str = "split") -> DataFrame:

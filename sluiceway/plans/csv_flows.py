@@ -24,7 +24,7 @@ from sluiceway.operators.stats import (
     log_columns,
     top_classes,
 )
-from sluiceway.sources import read_csv_union, save_model, shared_dir, write_table
+from sluiceway.sources import lineage_cut, read_csv_union, save_model, write_table
 from sluiceway.specs import CSV_LABEL, CSV_TARGET, THREE_WAY, Split
 
 _COPIES, _SPLIT = "copies", "split"
@@ -62,15 +62,15 @@ def prepare_csv_flows(
         cast_all(unique, (CSV_LABEL, _COPIES)),
         [c for c in unique.columns if c not in (CSV_LABEL, _COPIES)],
     )
-    cleaned = spark.read.parquet(write_table(numeric, shared_dir(spark, "csv-flows")))
+    tagged = split_by_row(numeric, split, _SPLIT, skip=(_COPIES,))
+    cleaned = lineage_cut(tagged)
     audit = cleaned.agg(
         F.sum(_COPIES).alias("raw_rows"), F.count("*").alias("dedup_rows"),
         F.count(as_column(CSV_LABEL)).alias("labelled_rows"),
     )
 
-    labelled = filter_labelled(cleaned.drop(_COPIES))
-    # Split first, on the cleaned columns; the tag travels as text and is never a feature.
-    df = csv_flow_features(split_by_row(labelled, split, _SPLIT))
+    # The part travels as text, so it is never a feature.
+    df = csv_flow_features(filter_labelled(cleaned.drop(_COPIES)))
 
     def fit_rows(d: DataFrame) -> DataFrame:
         return d if fit_on == "all" else d.filter(F.col(_SPLIT) == next(iter(split.parts)))

@@ -10,7 +10,7 @@ from sluiceway.operators.sampling import sample_by, split_drawn
 from sluiceway.operators.stages import flow_stages
 from sluiceway.operators.stats import class_counts
 from sluiceway.operators.weights import with_binary_weights, with_fixed_weight
-from sluiceway.sources import read_available, save_model, shared_dir, write_table
+from sluiceway.sources import lineage_cut, read_available, save_model, write_table
 from sluiceway.specs import FLOW_COLUMNS, FLOW_SAMPLE_FRACTIONS, THREE_WAY, Split
 
 _SPLIT = "split"
@@ -53,8 +53,7 @@ def prepare_flows(
         raise ValueError("fit_on must be 'train' or 'all'")
     flows = read_available(spark, path, FLOW_COLUMNS, required=("attack",))
     features = sampled_flow_features(flows, fractions, seed, finite_check)
-    frozen = write_table(split_drawn(features, split, _SPLIT), shared_dir(spark, "flows"))
-    sample = spark.read.parquet(frozen)
+    sample = lineage_cut(split_drawn(features, split, _SPLIT))
     fit_rows = sample
     if fit_on == "train":
         fit_rows = sample.filter(F.col(_SPLIT) == next(iter(split.parts)))

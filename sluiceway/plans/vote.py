@@ -86,6 +86,8 @@ def train_vote(
         write_table(table, f"{out}/ensemble_weights")
         write_table(predictions, f"{out}/test_predictions")
         predictions = train.sparkSession.read.parquet(f"{out}/test_predictions")
+    else:
+        predictions = lineage_cut(predictions)
     metrics = vote_metrics(predictions, seconds)
     if out is not None:
         write_table(metrics, f"{out}/metrics")

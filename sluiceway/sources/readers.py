@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,15 +53,20 @@ def read_csv_union(spark: SparkSession, glob: str) -> DataFrame:
     share one scan, so the plan grows with the number of layouts, not of files. Rows with a
     wrong number of fields are dropped; the parser sees whole rows whatever is selected later.
     """
+    paths = _list_files(spark, glob)
+    # Reading a header is a tiny Spark job; many at a time keep a long file list short.
+    with ThreadPoolExecutor(16) as pool:
+        headers = list(pool.map(
+            lambda path: tuple(spark.read.option("header", True).csv(path).columns), paths
+        ))
     layouts: dict[tuple[str, ...], list[str]] = {}
-    for path in _list_files(spark, glob):
-        header = spark.read.option("header", True).csv(path).columns
-        layouts.setdefault(tuple(header), []).append(path)
+    for path, header in zip(paths, headers, strict=True):
+        layouts.setdefault(header, []).append(path)
     parts = [
-        spark.read.schema(_text_schema(normalized_names(list(header)))).csv(
-            paths, header=True, mode="DROPMALFORMED", multiLine=False, columnPruning=False
-        )
-        for header, paths in layouts.items()
+        spark.read.schema(_text_schema(normalized_names(list(header))))
+        .option("columnPruning", False)
+        .csv(files, header=True, mode="DROPMALFORMED", multiLine=False)
+        for header, files in layouts.items()
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 

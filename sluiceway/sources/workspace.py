@@ -30,12 +30,23 @@ def shared_dir(spark: SparkSession, name: str = "work") -> str:
     return f"{_checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def lineage_cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors and freezes computed values."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(_checkpoint_root(df.sparkSession))
-    return df.checkpoint(eager=True)
+def lineage_cut(df: DataFrame, how: str = "table") -> DataFrame:
+    """Compute once, into the shared folder, and go on from there.
+
+    The result survives the loss of executors and freezes drawn or numbered values. A
+    parquet table lets later passes read only their columns; ``how="checkpoint"`` uses
+    Spark's reliable checkpoint instead.
+    """
+    spark = df.sparkSession
+    if how == "checkpoint":
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(_checkpoint_root(spark))
+        return df.checkpoint(eager=True)
+    if how != "table":
+        raise ValueError("how must be 'table' or 'checkpoint'")
+    path = shared_dir(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
