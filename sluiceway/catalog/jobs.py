@@ -133,7 +133,9 @@ def prepare_flows_job(spark, sf_dir):
     """All classes kept whole, so that the row counts can be checked."""
     raw = sources.write_table(parquet_flows(spark, sf_dir), sources.shared_dir(spark, "raw-flows"))
     out = sources.shared_dir(spark, "flows-out")
-    return prepare_flows(spark, raw, out, fractions={0.0: 1.0, 1.0: 1.0})["distribution"]
+    keep_all = {0.0: 1.0, 1.0: 1.0}
+    cores = spark.sparkContext.defaultParallelism
+    return prepare_flows(spark, raw, out, fractions=keep_all, partitions=cores)["distribution"]
 
 
 @query("select case when l_linestatus = 'O' then 0 end as attack, l_quantity as dur from lineitem")

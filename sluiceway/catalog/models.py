@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sluiceway import sources
 from sluiceway.catalog.jobs import uflow
 from sluiceway.catalog.registry import events_by_category, query, r6, table
-from sluiceway.operators import ensemble, sampling, stages, tuning
+from sluiceway.operators import ensemble, sampling, stages, tuning, unions
 from sluiceway.plans import (
     stack,
     stack_leave_one_source_out,
@@ -114,12 +114,18 @@ def selected_features(spark, sf_dir):
     return model.transform(df).select("vec_id", "label", "sel_features")
 
 
-def _tagged(raw: DataFrame) -> DataFrame:
-    parts = []
-    for tag in ("nsl", "cic", "bot"):
-        rows = raw.filter(F.coalesce("kind", F.lit("bot")) == tag)
-        parts.append(sources.uflow_from(rows, tag))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+def _cores(spark) -> int:
+    """The tables are single row groups, so model input is spread over the cores once."""
+    return spark.sparkContext.defaultParallelism
+
+
+def _pool(spark, sf_dir) -> DataFrame:
+    """Common flow records of three sources with a frozen row id."""
+    raw = uflow(spark, sf_dir).withColumn("kind", F.coalesce("kind", F.lit("bot")))
+    parts = [
+        sources.uflow_from(raw.filter(F.col("kind") == tag), tag) for tag in ("nsl", "cic", "bot")
+    ]
+    return sampling.add_row_id(unions.union_by_name(parts), partitions=_cores(spark))
 
 
 def _experts(pool: DataFrame) -> dict:
@@ -132,26 +138,27 @@ def _experts(pool: DataFrame) -> dict:
 @query()
 def rf_expert(spark, sf_dir):
     """Metrics of every part of the split."""
-    return train_expert(sources.uflow_from(uflow(spark, sf_dir)), "bot", **_SMALL)["metrics"]
+    flows = sources.uflow_from(uflow(spark, sf_dir))
+    return train_expert(flows, "bot", partitions=_cores(spark), **_SMALL)["metrics"]
 
 
 @query()
 def score_experts(spark, sf_dir):
-    pool = _tagged(uflow(spark, sf_dir))
-    return ensemble.score_all(pool, _experts(pool), ["src_ds", "label"])
+    pool = _pool(spark, sf_dir)
+    return ensemble.score_all(pool, _experts(pool), ["row_id", "src_ds", "label"])
 
 
 @query()
 def stack_meta(spark, sf_dir):
-    pool = _tagged(uflow(spark, sf_dir))
-    return stack(pool, _experts(pool), maxIter=30)["metrics"]
+    pool = _pool(spark, sf_dir)
+    return stack(pool, _experts(pool), row_key="row_id", maxIter=30)["metrics"]
 
 
 @query()
 def stack_holdout(spark, sf_dir):
     """Leave-one-source-out: pooled, per source and unseen source."""
-    pool = _tagged(uflow(spark, sf_dir))
-    return stack_leave_one_source_out(pool, _experts(pool), maxIter=30)
+    pool = _pool(spark, sf_dir)
+    return stack_leave_one_source_out(pool, _experts(pool), row_key="row_id", maxIter=30)
 
 
 @query()
@@ -159,7 +166,7 @@ def vote_ensemble(spark, sf_dir):
     df = sampling.split_hash(_vectors(spark, sf_dir), "vec_id", TRAIN_VAL)
     train, test = (df.filter(F.col("split") == s).drop("split") for s in ("train", "val"))
     return train_vote(
-        train, test, preset="vote_small", row_key=["vec_id"],
+        train, test, preset="vote_small", row_key=["vec_id"], partitions=_cores(spark),
         overrides={"rf": {"numTrees": 5, "maxDepth": 5}, "lr": {"maxIter": 20},
                    "gbt": {"maxIter": 3, "maxDepth": 3}},
     )["predictions"]

@@ -194,8 +194,12 @@ def leave_one_group_out(
         yield g, df.filter(as_column(key) != F.lit(g)), df.filter(as_column(key) == F.lit(g))
 
 
-def add_row_id(df: DataFrame, name: str = "row_id", stable: bool = True) -> DataFrame:
-    """Unique row number. ``stable`` writes a checkpoint, so that a retried task cannot
-    number rows anew; prefer a natural key where there is one."""
-    out = df.withColumn(name, F.monotonically_increasing_id())
+def add_row_id(
+    df: DataFrame, name: str = "row_id", stable: bool = True, partitions: int | None = None
+) -> DataFrame:
+    """Unique row number. ``stable`` writes the result to the shared folder, so that a
+    retried task cannot number rows anew; prefer a natural key where there is one.
+    ``partitions`` spreads the rows before they are numbered."""
+    spread = df if partitions is None else df.repartition(partitions)
+    out = spread.withColumn(name, F.monotonically_increasing_id())
     return lineage_cut(out) if stable else out

@@ -37,6 +37,13 @@ def indexer(column: str, out: str | None = None) -> StringIndexer:
     return StringIndexer(inputCol=column, outputCol=out or f"{column}_idx", handleInvalid="keep")
 
 
+def indexers(columns: list[str]) -> StringIndexer:
+    """One stage for several columns: a single pass counts them all."""
+    return StringIndexer(
+        inputCols=columns, outputCols=[f"{c}_idx" for c in columns], handleInvalid="keep"
+    )
+
+
 def assembler(cols: list[str], out: str = "features", invalid: str = "error") -> VectorAssembler:
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid=invalid)
 
@@ -55,7 +62,7 @@ def connection_stages() -> Pipeline:
     )
     cols = [*CONNECTION_NUMERIC, *[f"{c}_vec" for c in cats]]
     return Pipeline(stages=[
-        *[indexer(c) for c in cats], encoder, assembler(cols, "features_raw", "keep"), scaler(),
+        indexers(cats), encoder, assembler(cols, "features_raw", "keep"), scaler(),
     ])
 
 
@@ -63,11 +70,12 @@ def flow_stages(df: DataFrame, label: str = "label") -> Pipeline:
     """Index + one-hot (last level dropped) of the present categoricals, doubles, scaling."""
     cats = [c for c in FLOW_CATEGORICAL if c in df.columns]
     stages = []
-    for c in cats:
-        stages += [
-            indexer(c),
-            OneHotEncoder(inputCol=f"{c}_idx", outputCol=f"{c}_ohe", dropLast=True),
-        ]
+    if cats:
+        encoder = OneHotEncoder(
+            inputCols=[f"{c}_idx" for c in cats], outputCols=[f"{c}_ohe" for c in cats],
+            dropLast=True,
+        )
+        stages = [indexers(cats), encoder]
     cols = [*double_columns(df, (label,)), *[f"{c}_ohe" for c in cats]]
     return Pipeline(stages=[*stages, assembler(cols, "features_raw", "keep"), scaler()])
 

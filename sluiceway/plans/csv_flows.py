@@ -42,6 +42,7 @@ def prepare_csv_flows(
     split: Split = THREE_WAY,
     fit_on: str = "train",
     files: int | None = None,
+    partitions: int | None = None,
     save_stages: bool = True,
 ) -> dict:
     """Union, clean, derive, impute, prune, assemble and scale; one table partitioned by split.
@@ -63,7 +64,7 @@ def prepare_csv_flows(
         [c for c in unique.columns if c not in (CSV_LABEL, _COPIES)],
     )
     tagged = split_by_row(numeric, split, _SPLIT, skip=(_COPIES,))
-    cleaned = lineage_cut(tagged)
+    cleaned = lineage_cut(tagged, partitions=partitions)
     audit = cleaned.agg(
         F.sum(_COPIES).alias("raw_rows"), F.count("*").alias("dedup_rows"),
         F.count(as_column(CSV_LABEL)).alias("labelled_rows"),

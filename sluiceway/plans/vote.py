@@ -32,6 +32,7 @@ def train_vote(
     auto_tune: bool = False,
     weights: dict[str, float] | None = None,
     overrides: dict[str, dict] | None = None,
+    partitions: int | None = None,
 ) -> dict:
     """Resample, weigh, fit three models, vote on the test table, evaluate.
 
@@ -46,9 +47,10 @@ def train_vote(
     known = train.select(
         *[c for c in train.columns if c != "label"], F.col("label").cast("double").alias("label")
     ).filter(F.col(_CATEGORY) != UNKNOWN)
-    resampled = lineage_cut(resample_to_target(
+    drawn = resample_to_target(
         known, _CATEGORY, ratios, _CAPS[preset], row_key=row_key, mode=resample_mode
-    ))
+    )
+    resampled = lineage_cut(drawn, partitions=partitions)
     counted = known if counts_from == "original" else resampled
     index_model = indexer(_CATEGORY, "category_label").fit(resampled)
     names = index_model.labelsArray[0]

@@ -30,14 +30,19 @@ def shared_dir(spark: SparkSession, name: str = "work") -> str:
     return f"{_checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def lineage_cut(df: DataFrame, how: str = "table") -> DataFrame:
+def lineage_cut(df: DataFrame, how: str = "table", partitions: int | None = None) -> DataFrame:
     """Compute once, into the shared folder, and go on from there.
 
+    ``partitions`` spreads the rows first: for input in a few large row groups that
+    iterative fits will read many times. Leave it unset for input with many splits.
+
     The result survives the loss of executors and freezes drawn or numbered values. A
     parquet table lets later passes read only their columns; ``how="checkpoint"`` uses
     Spark's reliable checkpoint instead.
     """
     spark = df.sparkSession
+    if partitions is not None:
+        df = df.repartition(partitions)
     if how == "checkpoint":
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(_checkpoint_root(spark))
