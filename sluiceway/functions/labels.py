@@ -20,9 +20,9 @@ def binary_label(c: Column | str, negative: str = NORMAL) -> Column:
 
 
 def label_from_flag(c: Column | str) -> Column:
-    """0.0 where an integer flag is 0; null or unparsable flags count as attacks."""
-    flag = F.coalesce(as_column(c).try_cast("int"), F.lit(1))
-    return F.when(flag == 0, 0.0).otherwise(1.0)
+    """0.0 where a flag is 0 as an integer (fractions cut off); null or unparsable flags
+    count as attacks."""
+    return F.when(F.abs(as_column(c).try_cast("double")) < 1.0, 0.0).otherwise(1.0)
 
 
 def category_map(
