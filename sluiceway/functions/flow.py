@@ -23,12 +23,8 @@ def bucket_protocol(c: Column | str) -> Column:
 def bucket_port(c: Column | str) -> Column:
     """IANA range of a port number; null, unparsable or out-of-range ports are invalid."""
     port = as_column(c).try_cast("double")
-    return (
-        F.when(port.between(0, 1023), "well_known")
-        .when((port > 1023) & (port <= 49151), "registered")
-        .when((port > 49151) & (port <= 65535), "dynamic")
-        .otherwise("invalid")
-    )
+    known = F.when(port <= 1023, "well_known").when(port <= 49151, "registered")
+    return F.when((port >= 0) & (port <= 65535), known.otherwise("dynamic")).otherwise("invalid")
 
 
 def flag_value(c: Column | str) -> Column:

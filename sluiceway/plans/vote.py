@@ -30,6 +30,7 @@ def train_vote(
     row_key: list[str] | None = None,
     resample_mode: str = "poisson",
     auto_tune: bool = False,
+    tune_grid: dict[str, list] | None = None,
     weights: dict[str, float] | None = None,
     overrides: dict[str, dict] | None = None,
     partitions: int | None = None,
@@ -64,7 +65,7 @@ def train_vote(
     with persisted(rows) as ready:
         rf = forest(preset, "category_label", weight="mcWeight", **over.get("rf", {}))
         if auto_tune:
-            rf_model = cv_tune(ready, rf, "category_label").bestModel
+            rf_model = cv_tune(ready, rf, "category_label", tune_grid).bestModel
         else:
             rf_model = rf.fit(ready)
         lr_model = logit(preset, "category_label", weight="mcWeight", **over.get("lr", {})).fit(ready)

@@ -121,6 +121,11 @@ CV_GRID = {"numTrees": [60, 80], "maxDepth": [10, 12]}
 # Settings of our own.
 # ---------------------------------------------------------------------------
 
+# For the session of the caller; the library sets nothing itself. Wide projections grow into
+# methods that the JVM's compiler refuses (over 8000 bytes of byte code) and then run
+# interpreted, several times slower. With this limit Spark splits them up instead.
+SESSION_SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
 # A table is only ever broadcast by request after a check that it has at most this many rows.
 BROADCAST_ROW_LIMIT = 10_000
 
