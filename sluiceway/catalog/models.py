@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sluiceway import sources
 from sluiceway.catalog.jobs import uflow
 from sluiceway.catalog.registry import events_by_category, query, r6, table
-from sluiceway.operators import ensemble, sampling, stages, tuning, unions
+from sluiceway.operators import ensemble, sampling, stages, tuning
 from sluiceway.plans import (
     stack,
     stack_leave_one_source_out,
@@ -121,11 +121,8 @@ def _cores(spark) -> int:
 
 def _pool(spark, sf_dir) -> DataFrame:
     """Common flow records of three sources with a frozen row id."""
-    raw = uflow(spark, sf_dir).withColumn("kind", F.coalesce("kind", F.lit("bot")))
-    parts = [
-        sources.uflow_from(raw.filter(F.col("kind") == tag), tag) for tag in ("nsl", "cic", "bot")
-    ]
-    return sampling.add_row_id(unions.union_by_name(parts), partitions=_cores(spark))
+    raw = uflow(spark, sf_dir).withColumn("src_ds", F.coalesce("kind", F.lit("bot")))
+    return sampling.add_row_id(sources.uflow_from(raw, keep=("src_ds",)), partitions=_cores(spark))
 
 
 def _experts(pool: DataFrame) -> dict:

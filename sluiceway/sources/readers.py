@@ -89,10 +89,13 @@ def read_parquet_cols(spark: SparkSession, path: str | list[str], cols: list[str
     return spark.read.parquet(*paths).select(*[as_column(c) for c in cols])
 
 
-def uflow_from(df: DataFrame, tag: str | None = None) -> DataFrame:
-    """Common flow record: 11 features and label as doubles, null and NaN to 0.0, source tag."""
+def uflow_from(df: DataFrame, tag: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Common flow record: 11 features and label as doubles, null and NaN to 0.0, source tag.
+
+    ``keep`` names further columns to carry along, such as a row key or a source column.
+    """
     cols = [*UFLOW_FEATURES, UFLOW_LABEL]
-    out = df.select(*[as_double(c).alias(c) for c in cols]).na.fill(0.0)
+    out = df.select(*keep, *[as_double(c).alias(c) for c in cols]).na.fill(0.0, cols)
     return out if tag is None else out.withColumn("src_ds", F.lit(tag))
 
 
