@@ -25,7 +25,10 @@ def attack_score(spark, sf_dir):
     )
 
 
-_VOTE = "(0.4 * abs(embedding[1]::double) + 0.25 * abs(embedding[2]::double) + 0.35 * abs(embedding[3]::double))"
+_VOTE = (
+    "(0.4 * abs(embedding[1]::double) + 0.25 * abs(embedding[2]::double)"
+    " + 0.35 * abs(embedding[3]::double))"
+)
 
 
 @query(f"""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sluiceway import sources
 from sluiceway.catalog.jobs import uflow
 from sluiceway.catalog.registry import events_by_category, query, r6, table
-from sluiceway.operators import ensemble, sampling, stages, tuning
+from sluiceway.operators import ensemble, sampling, stages, tuning, weights
 from sluiceway.plans import (
     stack,
     stack_leave_one_source_out,
@@ -30,7 +30,8 @@ _SMALL = dict(numTrees=5, maxDepth=5, maxBins=32)
 
 
 @query("""
-    select l_orderkey, l_linenumber, round(l_quantity / (select stddev_samp(l_quantity) from lineitem), 6) as q,
+    select l_orderkey, l_linenumber,
+           round(l_quantity / (select stddev_samp(l_quantity) from lineitem), 6) as q,
            round(l_tax / (select stddev_samp(l_tax) from lineitem), 6) as t
     from lineitem
 """)
@@ -196,9 +197,9 @@ def cross_validated(spark, sf_dir):
 
 @query()
 def boosted_trees(spark, sf_dir):
-    """Scores of a weighted binary boosted model on event categories."""
-    df = _vectors(spark, sf_dir)
-    model = stages.boosted("vote_small", maxIter=3, maxDepth=3).fit(df)
+    """Predictions of a binary boosted model with balanced row weights."""
+    df = weights.with_binary_weights(_vectors(spark, sf_dir), "label", name="binWeight")
+    model = stages.boosted("vote_small", weight="binWeight", maxIter=3, maxDepth=3).fit(df)
     return model.transform(df).select("vec_id", "label", "prediction")
 
 

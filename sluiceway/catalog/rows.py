@@ -13,7 +13,7 @@ from sluiceway.catalog.registry import (
     r6,
     table,
 )
-from sluiceway.operators import clean, features, stats, weights
+from sluiceway.operators import clean, features, joins, stats, weights
 
 
 @query(f"""
@@ -31,11 +31,10 @@ def flow_class_report(spark, sf_dir):
     ratio = e.groupBy("attack_category").agg(
         F.avg(fn.safe_ratio("value", "user_id")).alias("mean_ratio"), F.count("*").alias("rows")
     )
-    total = ratio.agg(F.sum("rows")).scalar()
-    classes = ratio.agg(F.count("*")).scalar()
-    return ratio.select(
-        "attack_category", "rows", r6(F.col("rows") / total).alias("share"),
-        r6(total.cast("double") / (classes * F.col("rows"))).alias("weight"),
+    totals = ratio.agg(F.sum("rows").alias("total"), F.count("*").alias("classes"))
+    return joins.attach_row(ratio, totals, "t").select(
+        "attack_category", "rows", r6(F.col("rows") / F.col("t.total")).alias("share"),
+        r6(F.col("t.total") / (F.col("t.classes") * F.col("rows"))).alias("weight"),
         r6("mean_ratio").alias("mean_ratio"),
     )
 

@@ -34,7 +34,7 @@ def double_columns(df: DataFrame, except_: tuple[str, ...] = ()) -> list[str]:
     ]
 
 
-def _replace(df: DataFrame, new: dict[str, Column]) -> DataFrame:
+def replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     """One projection that swaps the given columns and keeps the others in place."""
     return df.select(*[
         new[c].alias(c) if c in new else as_column(c) for c in df.columns
@@ -43,13 +43,13 @@ def _replace(df: DataFrame, new: dict[str, Column]) -> DataFrame:
 
 def cast_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     """Cast the listed columns to double; failures become null."""
-    return _replace(df, {c: as_double(c) for c in cols})
+    return replace_columns(df, {c: as_double(c) for c in cols})
 
 
 def cast_all(df: DataFrame, except_: tuple[str, ...] = (CSV_LABEL,)) -> DataFrame:
     """Every text column but the exceptions to double, thousands commas removed."""
     kinds = dict(df.dtypes)
-    return _replace(df, {
+    return replace_columns(df, {
         c: text_to_double(c) if kinds[c] == "string" else as_double(c)
         for c in df.columns if c not in except_
     })
@@ -57,12 +57,12 @@ def cast_all(df: DataFrame, except_: tuple[str, ...] = (CSV_LABEL,)) -> DataFram
 
 def null_nonfinite(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """NaN and infinities to null in the given (or all) double columns."""
-    return _replace(df, {c: nonfinite_to_null(c) for c in (cols or double_columns(df))})
+    return replace_columns(df, {c: nonfinite_to_null(c) for c in (cols or double_columns(df))})
 
 
 def coerce_columns(df: DataFrame, cols: list[str], default: float = 0.0) -> DataFrame:
     """Those of the columns that exist to double, null and unparsable to the default."""
-    return _replace(df, {c: coerce_double(c, default) for c in cols if c in df.columns})
+    return replace_columns(df, {c: coerce_double(c, default) for c in cols if c in df.columns})
 
 
 def fill_missing(df: DataFrame, defaults: dict[str, float]) -> DataFrame:

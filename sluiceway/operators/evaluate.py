@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.functions.parsing import as_column
+from sluiceway.operators.joins import attach_row
 from sluiceway.sources.sinks import stamp
 from sluiceway.sources.workspace import lineage_cut
 
@@ -174,21 +175,18 @@ def running_counts(per_score: DataFrame, buckets: int = 512, small: int = 200_00
     summed on its own, and the totals of the (few) ranges before it are added. The result
     is exact for any cut points, and no task orders more than one range.
     """
-    summary = per_score.agg(
-        F.count("*").alias("n"),
-        F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 20 * buckets)
-        .alias("cuts"),
-    ).first()
     before = "rows between unbounded preceding and 1 preceding"
 
     def running(c: str, over: str) -> Column:
         return F.expr(f"coalesce(sum({c}) over ({over} {before}), 0)")
 
-    if summary["n"] <= small:
+    if per_score.count() <= small:
         return per_score.select(
             "*", *[running(c, "order by score").alias(f"{c}_below") for c in ("pos", "neg")]
         )
-    cuts = sorted({c for c in summary["cuts"] if math.isfinite(c)})
+    quantiles = [i / buckets for i in range(1, buckets)]
+    found = per_score.agg(F.percentile_approx("score", quantiles, 20 * buckets)).first()[0]
+    cuts = sorted({c for c in found if math.isfinite(c)})
     ranges = Bucketizer(
         splits=[float("-inf"), *cuts, float("inf")], inputCol="score", outputCol="range"
     ).transform(per_score)
@@ -215,13 +213,12 @@ def ranking_metrics(df: DataFrame, score: str, label: str, **kw) -> DataFrame:
     that follow.
     """
     per_score = lineage_cut(score_counts(df, score, label))
-    counts = running_counts(per_score, **kw)
-    all_pos = per_score.agg(F.sum("pos")).scalar()
-    all_neg = per_score.agg(F.sum("neg")).scalar()
+    totals = per_score.agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = attach_row(running_counts(per_score, **kw), totals, "all")
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     # Predicting every score from here upwards as positive gives (tp, fp); without the
     # score itself (tp0, fp0). At the top there is nothing above: precision continues level.
-    tp, fp = all_pos - F.col("pos_below"), all_neg - F.col("neg_below")
+    tp, fp = F.col("all.pos") - F.col("pos_below"), F.col("all.neg") - F.col("neg_below")
     tp0, fp0 = tp - F.col("pos"), fp - F.col("neg")
     here = tp / (tp + fp)
     above = F.when(tp0 + fp0 > 0, tp0 / (tp0 + fp0)).otherwise(here)

@@ -24,6 +24,14 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROW_LIMIT) -> DataFr
     return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
 
 
+def attach_row(df: DataFrame, row: DataFrame, name: str) -> DataFrame:
+    """Add a one-row table (an aggregate) to every row as a struct column.
+
+    It is a scalar subquery: computed once, then a constant; nothing is joined.
+    """
+    return df.withColumn(name, row.select(F.struct(*row.columns)).scalar())
+
+
 def join_scores(base: DataFrame, parts: list[DataFrame], key: str) -> DataFrame:
     """Inner equi-joins of score tables to a base by row key.
 

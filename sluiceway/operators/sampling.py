@@ -40,12 +40,10 @@ def resample_plan(
     ratios = RESAMPLE_RATIOS if ratios is None else ratios
     counts = class_counts(df, [key])
     largest = counts.agg(F.max("rows")).scalar()
-    target = None
-    for name, ratio in ratios.items():
-        branch = (F.col(key) == F.lit(name), largest * F.lit(float(ratio)))
-        target = F.when(*branch) if target is None else target.when(*branch)
-    own = F.col("rows").cast("double")
-    target = own if target is None else target.otherwise(own)
+    ratio = F.lit(None).cast("double")
+    for name, value in ratios.items():
+        ratio = F.when(F.col(key) == F.lit(name), F.lit(float(value))).otherwise(ratio)
+    target = F.coalesce(largest * ratio, F.col("rows").cast("double"))
     return counts.select(key, "rows", target.alias("target")).withColumn(
         "fraction", F.least(F.col("target") / F.col("rows"), F.lit(float(cap)))
     )

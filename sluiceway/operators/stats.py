@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.functions.parsing import as_column, nonfinite_to_null
-from sluiceway.operators.clean import _replace, double_columns
+from sluiceway.operators.clean import double_columns, replace_columns
+from sluiceway.operators.joins import attach_row
 from sluiceway.specs import CSV_LABEL, CSV_TARGET
 
 LABELS = (CSV_LABEL, CSV_TARGET)
@@ -26,19 +27,15 @@ def class_counts(df: DataFrame, keys: list[str], name: str = "rows") -> DataFram
 def class_profile(df: DataFrame, key: str) -> DataFrame:
     """Per class: rows, share; and on each row the total, number of classes, largest class.
 
-    The totals are scalar subqueries over the class counts. Spark computes the counts once
+    The totals are one scalar subquery over the class counts. Spark computes the counts once
     (the exchange is reused) and no window pulls all classes into one task.
     """
     counts = class_counts(df, [key])
-    total = counts.agg(F.sum("rows")).scalar()
-    return counts.select(
-        key,
-        "rows",
-        (F.col("rows") / total).alias("share"),
-        total.alias("total"),
-        counts.agg(F.count("*")).scalar().alias("classes"),
-        counts.agg(F.max("rows")).scalar().alias("largest"),
+    totals = counts.agg(
+        F.sum("rows").alias("total"), F.count("*").alias("classes"), F.max("rows").alias("largest")
     )
+    share = F.col("rows") / F.col("__t.total")
+    return attach_row(counts, totals, "__t").select(key, "rows", share.alias("share"), "__t.*")
 
 
 def top_classes(df: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
@@ -262,7 +259,7 @@ def fit_log_skewed(
 
 def log_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     """log1p of max(x, 0) in the listed columns."""
-    return _replace(df, {
+    return replace_columns(df, {
         c: F.log1p(F.when(as_column(c) < 0.0, 0.0).otherwise(as_column(c))) for c in cols
     })
 

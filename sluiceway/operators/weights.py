@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.functions.parsing import as_column
-from sluiceway.operators.joins import lookup_default
+from sluiceway.operators.joins import attach_row, lookup_default
 from sluiceway.operators.stats import class_counts
 
 
 def class_weights(df: DataFrame, key: str, name: str = "weight") -> DataFrame:
     """Per class: rows and ``total / (classes * rows)``."""
     counts = class_counts(df, [key])
-    total = counts.agg(F.sum("rows")).scalar().cast("double")
-    classes = counts.agg(F.count("*")).scalar()
-    return counts.withColumn(name, total / (classes * F.col("rows")))
+    totals = counts.agg(F.sum("rows").cast("double").alias("total"), F.count("*").alias("classes"))
+    weight = F.col("__t.total") / (F.col("__t.classes") * F.col("rows"))
+    return attach_row(counts, totals, "__t").select(key, "rows", weight.alias(name))
 
 
 def with_class_weights(
@@ -48,11 +48,9 @@ def with_binary_weights(
     df: DataFrame, label: str, counts_from: DataFrame | None = None, name: str = "weight"
 ) -> DataFrame:
     """Add the balanced weight of each row's label."""
-    w = binary_weights(df if counts_from is None else counts_from, label)
-    one = as_column(label) == 1.0
-    return df.withColumn(
-        name, F.when(one, w.select("w1").scalar()).otherwise(w.select("w0").scalar())
-    )
+    table = binary_weights(df if counts_from is None else counts_from, label)
+    chosen = F.when(as_column(label) == 1.0, F.col("__w.w1")).otherwise(F.col("__w.w0"))
+    return attach_row(df, table.select("w0", "w1"), "__w").withColumn(name, chosen).drop("__w")
 
 
 def pos_weight(df: DataFrame, label: str) -> DataFrame:

@@ -27,7 +27,7 @@ from sluiceway.operators.stats import (
 from sluiceway.sources import lineage_cut, read_csv_union, save_model, write_table
 from sluiceway.specs import CSV_LABEL, CSV_TARGET, THREE_WAY, Split
 
-_COPIES, _SPLIT = "copies", "split"
+_COPIES, _SPLIT = "__copies", "split"
 
 
 def prepare_csv_flows(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sluiceway.functions.scores import class_probability, threshold_predict
 from sluiceway.operators.evaluate import metrics_by, ranking_metrics
