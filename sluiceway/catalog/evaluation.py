@@ -93,9 +93,9 @@ _CELLS = """
 
 @query(f"""
     with {_CELLS.format(keys="")}
-    select 0.0::double as class, c00 + c01 as support, round(p0, 6) as precision,
+    select 0.0::double as class, (c00 + c01)::bigint as support, round(p0, 6) as precision,
            round(r0, 6) as recall, round(f0, 6) as f1 from m
-    union all select 1.0, c10 + c11, round(p1, 6), round(r1, 6), round(f1, 6) from m
+    union all select 1.0, (c10 + c11)::bigint, round(p1, 6), round(r1, 6), round(f1, 6) from m
 """)
 def class_metrics(spark, sf_dir):
     out = evaluate.class_metrics(_judged(spark, sf_dir), "quality", "toxic")
@@ -196,7 +196,7 @@ _SWEEP = f"""
 
 
 @query(_SWEEP.format(keys="") + """
-    select threshold, tp, fp, fn, round(precision, 6) as precision, round(recall, 6) as recall,
+    select threshold, tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, round(precision, 6) as precision, round(recall, 6) as recall,
            round(f1, 6) as f1 from f
 """)
 def threshold_sweep(spark, sf_dir):

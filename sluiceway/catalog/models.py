@@ -50,7 +50,7 @@ def scaled_features(spark, sf_dir):
     with c as (select event_type, row_number() over (order by count(*) desc, event_type) - 1 as i
                from events group by 1)
     select event_id, i::double as idx,
-           [{", ".join(f"(i = {k})::int::double" for k in range(7))}] as hot
+           {", ".join(f"(i = {k})::int::double as hot{k}" for k in range(7))}
     from events join c using (event_type)
 """)
 def indexed_one_hot(spark, sf_dir):
@@ -61,11 +61,12 @@ def indexed_one_hot(spark, sf_dir):
         OneHotEncoder(inputCols=["idx"], outputCols=["vec"], dropLast=False, handleInvalid="keep"),
     ])
     out = flow.fit(e).transform(e)
-    return out.select("event_id", "idx", vector_to_array("vec").alias("hot"))
+    hot = out.select("event_id", "idx", vector_to_array("vec").alias("hot"))
+    return hot.select("event_id", "idx", *[F.col("hot")[k].alias(f"hot{k}") for k in range(7)])
 
 
 @query("""
-    select o_orderkey, [x, x * x, y, x * y, y * y] as poly
+    select o_orderkey, x, x * x as xx, y, x * y as xy, y * y as yy
     from (select o_orderkey, o_totalprice / 1e6::double as x, o_custkey / 1e3::double as y from orders)
 """)
 def polynomial_terms(spark, sf_dir):
@@ -77,9 +78,9 @@ def polynomial_terms(spark, sf_dir):
         stages.assembler(["x", "y"]),
         PolynomialExpansion(degree=2, inputCol="features", outputCol="poly_features"),
     ])
-    return flow.fit(o).transform(o).select(
-        "o_orderkey", vector_to_array("poly_features").alias("poly")
-    )
+    out = flow.fit(o).transform(o).select("o_orderkey", vector_to_array("poly_features").alias("p"))
+    names = ("x", "xx", "y", "xy", "yy")
+    return out.select("o_orderkey", *[F.col("p")[i].alias(n) for i, n in enumerate(names)])
 
 
 def _vectors(spark, sf_dir) -> DataFrame:
@@ -149,14 +150,14 @@ def score_experts(spark, sf_dir):
 @query()
 def stack_meta(spark, sf_dir):
     pool = _pool(spark, sf_dir)
-    return stack(pool, _experts(pool), row_key="row_id", maxIter=30)["metrics"]
+    return stack(pool, _experts(pool), row_key="row_id", maxIter=15)["metrics"]
 
 
 @query()
 def stack_holdout(spark, sf_dir):
     """Leave-one-source-out: pooled, per source and unseen source."""
     pool = _pool(spark, sf_dir)
-    return stack_leave_one_source_out(pool, _experts(pool), row_key="row_id", maxIter=30)
+    return stack_leave_one_source_out(pool, _experts(pool), row_key="row_id", maxIter=15)
 
 
 @query()

@@ -60,7 +60,8 @@ def top_classes(spark, sf_dir):
 
 
 @query("""
-    select count_if(event_type = 'view') as views, count_if(event_type <> 'view') as others
+    select count_if(event_type = 'view')::bigint as views,
+           count_if(event_type <> 'view')::bigint as others
     from events
 """)
 def conditional_count(spark, sf_dir):
