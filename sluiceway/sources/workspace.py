@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,15 +13,14 @@ _CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def _checkpoint_root(spark: SparkSession) -> str:
+    """The folder the session names; without one, a folder of the warehouse, which is shared too."""
     configured = spark.conf.get(_CHECKPOINT_KEY, None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="sluiceway-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
 def shared_dir(spark: SparkSession, name: str = "work") -> str:
