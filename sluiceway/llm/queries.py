@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import exact_dedup, mixing, sharding, toxicity
+from sluiceway.llm import exact_dedup, mixing, ngram_join, sharding, toxicity
 from sluiceway.sources import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,41 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "domain", "lang", "source", F.col("mix_epoch").alias("epoch"))
 
 
+SHINGLES_SQL = """
+words as (
+  select doc_id, [x for x in string_split_regex(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\\x20\\x09-\\x0D]+') if x <> ''] as w
+  from documents
+), shingles as (
+  select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i
+        from words where len(w) > 0)
+)"""
+
+
+@query(f"""
+with recursive {SHINGLES_SQL},
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+links as (
+  select a.doc_id as a, b.doc_id as b from shingles a join shingles b
+  on a.s = b.s and a.doc_id <> b.doc_id join sizes x on x.doc_id = a.doc_id
+  join sizes y on y.doc_id = b.doc_id group by a.doc_id, b.doc_id, x.n, y.n
+  having 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), reach(doc_id, label) as (
+  select doc_id, doc_id from documents
+  union
+  select l.b, r.label from reach r join links l on l.a = r.doc_id
+)
+select r.doc_id, coalesce(any_value(n), 0) as n_shingles, min(label) as component_id
+from reach r left join sizes s on s.doc_id = r.doc_id group by r.doc_id
+""")
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed(
+        "id", "doc_id"
+    )
+
+
 @query()
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -130,7 +130,7 @@ def shingles(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     for i in np.flatnonzero((counts > 0) & (counts < SHINGLE_WORDS)):
         k = int(counts[i])
         part = words[offsets[i] : offsets[i + 1]] * np.array(_PLACE[:k], np.uint64)
-        out[out_offsets[i]] = part.sum(dtype=np.uint64) + _SHORT[k]
+        out[out_offsets[i]] = np.add.reduce([*part, _SHORT[k]])
     return mix(out), out_offsets
 
 
