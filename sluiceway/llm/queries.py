@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import exact_dedup, mixing, ngram_join, sharding, toxicity
+from sluiceway.llm import decontaminate, exact_dedup, mixing, ngram_join, sharding, toxicity
 from sluiceway.sources import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +125,14 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id) of every text with a window like a benchmark item; clean texts have no row."""
+    return decontaminate.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    ).withColumnRenamed("id", "doc_id")
+
+
 @query()
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
