@@ -178,21 +178,24 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array(shares, pa.list_(pa.float32()))], ["_grade", "numbers", "shares"])
 
 
-def _scorer(model: OrdinalModel):
-    weights, limits = model.weights, model.thresholds
+def reaches(column: pa.Array, model: OrdinalModel) -> np.ndarray:
+    """P(grade >= k) of every text of a batch, one column per threshold."""
+    data, offsets = textops.batch_bytes(column)
+    sums = np.zeros(len(offsets) - 1)
+    for lo, hi in textops.slices(offsets):
+        part = data[offsets[lo] : offsets[hi]]
+        found, words = features(part, offsets[lo : hi + 1] - offsets[lo])
+        for i in range(hi - lo):
+            own = np.sort(found[words[i] : words[i + 1]], axis=None)
+            own = own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
+            sums[lo + i] = model.weights[own].sum(dtype=np.float64) * presence(len(own))
+    return 1.0 / (1.0 + np.exp(-np.clip(sums[:, None] - model.thresholds[None, :], -40, 40)))
+
 
+def _scorer(model: OrdinalModel):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = textops.batch_bytes(batch.column(batch.num_columns - 1))
-            sums = np.zeros(len(offsets) - 1)
-            for lo, hi in textops.slices(offsets):
-                part = data[offsets[lo] : offsets[hi]]
-                found, words = features(part, offsets[lo : hi + 1] - offsets[lo])
-                for i in range(hi - lo):
-                    own = np.sort(found[words[i] : words[i + 1]], axis=None)
-                    own = own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own
-                    sums[lo + i] = weights[own].sum(dtype=np.float64) * presence(len(own))
-            reach = 1.0 / (1.0 + np.exp(-np.clip(sums[:, None] - limits[None, :], -40, 40)))
+            reach = reaches(batch.column(batch.num_columns - 1), model)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(reach.sum(axis=1)), pa.array(reach[:, 0]),
                  pa.array((reach >= 0.5).sum(axis=1).astype(np.int32))],
@@ -213,3 +216,15 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
     schema = (fields.add("expected_severity", "double").add("p_toxic", "double")
               .add("severity_grade", "integer"))
     return read.mapInArrow(_scorer(model), schema)
+
+
+def keep_clean(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
+               reject_from: float = REJECT_FROM) -> DataFrame:
+    """The documents whose probability of any toxicity is below ``reject_from``, all columns as is."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(reaches(batch.column(at), model)[:, 0] < reject_from))
+
+    return docs.mapInArrow(run, docs.schema)
