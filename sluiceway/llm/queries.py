@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import decontaminate, exact_dedup, mixing, ngram_join, sharding, toxicity
+from sluiceway.llm import decontaminate, exact_dedup, html_text, mixing, ngram_join, sharding, toxicity
 from sluiceway.sources import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,11 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "domain", "lang", "source", F.col("mix_epoch").alias("epoch"))
 
 
+@query()
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 SHINGLES_SQL = """
 words as (
   select doc_id, [x for x in string_split_regex(
