@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import decontaminate, exact_dedup, html_text, mixing, ngram_join, sharding, toxicity
+from sluiceway.llm import decontaminate, exact_dedup, html_text, mixing, ngram_join, sharding, toxicity, warc
 from sluiceway.sources import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,6 +130,36 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+with coded as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes,
+         sha1(coalesce(html, '')) as h
+  from pages
+), digested as (
+  select page_id, payload_bytes, translate(
+      lpad(to_base(('0x' || h[1:10])::bigint, 32), 8, '0')
+      || lpad(to_base(('0x' || h[11:20])::bigint, 32), 8, '0')
+      || lpad(to_base(('0x' || h[21:30])::bigint, 32), 8, '0')
+      || lpad(to_base(('0x' || h[31:40])::bigint, 32), 8, '0'),
+      '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') as payload_digest
+  from coded
+), grouped as (
+  select *, max(page_id) over (partition by payload_digest) as last_id from digested
+)
+select page_id, payload_bytes, payload_digest,
+       case when page_id = last_id then 'response' else 'revisit' end as record_type,
+       case when page_id <> last_id then last_id end as refers_to
+from grouped
+""")
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written, normalised and read back; the rows are those of the sidecar index."""
+    raw = warc.write_archives(table(spark, sf_dir, "pages"), shared_dir(spark, "warc-raw"))
+    archives = warc.normalise(spark, raw, shared_dir(spark, "warc"))
+    index = warc.write_index(spark, archives, shared_dir(spark, "warc-index"))
+    return index.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest",
+                        "record_type", "refers_to")
+
+
 @query()
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id) of every text with a window like a benchmark item; clean texts have no row."""
