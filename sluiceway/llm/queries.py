@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import decontaminate, exact_dedup, html_text, mixing, ngram_join, sharding, toxicity, warc
+from sluiceway.llm import decontaminate, exact_dedup, html_text, mixing, ngram_join, ppm, sharding, toxicity, warc
 from sluiceway.sources import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,6 +160,16 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "record_type", "refers_to")
 
 
+@query()
+def op8_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    own = docs.select("doc_id", "text", ppm.held_out(F.col("doc_id")).alias("held_out"))
+    model = ppm.train(own.filter(~F.col("held_out")))
+    return ppm.score(own, model, keep=("doc_id", "held_out")).withColumn(
+        "train_tokens", F.lit(model.tokens).cast("long")
+    )
+
+
 @query()
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id) of every text with a window like a benchmark item; clean texts have no row."""
