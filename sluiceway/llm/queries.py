@@ -62,13 +62,6 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Sources play web sites: their number decides the domain.
-DOMAIN = (
-    F.when(F.regexp_extract("source", r"(\d+)$", 1).cast("int") < 5, "web")
-    .when(F.regexp_extract("source", r"(\d+)$", 1).cast("int") < 10, "news")
-    .when(F.regexp_extract("source", r"(\d+)$", 1).cast("int") < 15, "books")
-    .otherwise("forum")
-)
 MIX_LEVELS = ("domain", "lang", "source")
 MIX_WEIGHTS = (
     {"web": 0.4, "news": 0.25, "books": 0.2, "forum": 0.15},
@@ -78,14 +71,18 @@ MIX_WEIGHTS = (
 
 
 def domain_column() -> dict[str, Column]:
-    return {"domain": DOMAIN}
+    """Sources play web sites: their number decides the domain."""
+    number = F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) as int)")
+    domain = (F.when(number < 5, "web").when(number < 10, "news").when(number < 15, "books")
+              .otherwise("forum"))
+    return {"domain": domain}
 
 
 @query()
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many tokens as there are, half of the leaves short: up to two epochs of each document."""
     mix = mixing.Mix(MIX_LEVELS, MIX_WEIGHTS, share=1.0, max_epochs=2)
-    docs = table(spark, sf_dir, "documents").drop("domain").withColumn("domain", DOMAIN)
+    docs = table(spark, sf_dir, "documents").drop("domain").withColumns(domain_column())
     out = mixing.mix_sources(docs, mix)
     return out.select("doc_id", "domain", "lang", "source", F.col("mix_epoch").alias("epoch"))
 
