@@ -1,14 +1,10 @@
-"""Feature stages, model fits, searches and ensembles on the given tables.
-
-Forests, boosted trees and searches are smaller than their presets here, which are for
-training; the data is never reduced.
-"""
+"""Feature stages, model fits, searches and ensembles on the given tables, all at their presets."""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, PolynomialExpansion
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +20,7 @@ from sluiceway.plans import (
     train_vote,
 )
 from sluiceway.plans.expert import expert_stages
-from sluiceway.specs import TRAIN_VAL
-
-_SMALL = dict(numTrees=5, maxDepth=5, maxBins=32)
-
+from sluiceway.specs import TRAIN_VAL, TWO_WAY
 
 @query("""
     select l_orderkey, l_linenumber,
@@ -50,11 +43,14 @@ def scaled_features(spark, sf_dir):
     with c as (select event_type, row_number() over (order by count(*) desc, event_type) - 1 as i
                from events group by 1)
     select event_id, i::double as idx,
-           {", ".join(f"(i = {k})::int::double as hot{k}" for k in range(7))}
+           i::int as slot, ((select count(*) from c) + 2)::int as width
     from events join c using (event_type)
 """)
 def indexed_one_hot(spark, sf_dir):
-    """Index by frequency, one-hot with a slot for unseen values at either stage."""
+    """Index by frequency, one-hot with a slot for unseen values at either stage.
+
+    The vector is told by its hot slot and its width: the classes of the data and two more.
+    """
     e = table(spark, sf_dir, "events")
     flow = Pipeline(stages=[
         stages.indexer("event_type", "idx"),
@@ -62,7 +58,9 @@ def indexed_one_hot(spark, sf_dir):
     ])
     out = flow.fit(e).transform(e)
     hot = out.select("event_id", "idx", vector_to_array("vec").alias("hot"))
-    return hot.select("event_id", "idx", *[F.col("hot")[k].alias(f"hot{k}") for k in range(7)])
+    only = F.size(F.filter("hot", lambda x: x != 0.0)) == 1
+    slot = F.when(only, F.array_position("hot", F.lit(1.0)) - 1)
+    return hot.select("event_id", "idx", slot.cast("int").alias("slot"), F.size("hot").alias("width"))
 
 
 @query("""
@@ -87,19 +85,15 @@ def _vectors(spark, sf_dir) -> DataFrame:
     """Embeddings as training table: label 0 is normal, the others fall into four categories."""
     category = F.when(F.col("label") == 0, "normal").when(F.col("label") <= 3, "dos").when(
         F.col("label") <= 6, "probe").when(F.col("label") <= 8, "r2l").otherwise("u2r")
-    e = table(spark, sf_dir, "embeddings")
-    width = e.select(F.size("embedding").alias("n")).first()["n"]
-    wide = e.select(
+    return table(spark, sf_dir, "embeddings").select(
         "vec_id", (F.col("label") > 0).cast("double").alias("label"),
         category.alias("attack_category"),
-        *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(width)],
+        array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
     )
-    made = stages.assembler([f"x{i}" for i in range(width)]).transform(wide)
-    return made.select("vec_id", "label", "attack_category", "features")
 
 
 @query("""
-    select 64::bigint as width, count(*) as rows from embeddings
+    select max(len(embedding))::bigint as width, count(*) as rows from embeddings
 """)
 def vector_size(spark, sf_dir):
     df = _vectors(spark, sf_dir)
@@ -112,7 +106,7 @@ def vector_size(spark, sf_dir):
 def selected_features(spark, sf_dir):
     """The eight best features by F-test."""
     df = _vectors(spark, sf_dir)
-    model = stages.top_features(8, continuous=True).fit(df)
+    model = stages.top_features(8).fit(df)
     return model.transform(df).select("vec_id", "label", "sel_features")
 
 
@@ -127,37 +121,46 @@ def _pool(spark, sf_dir) -> DataFrame:
     return sampling.add_row_id(sources.uflow_from(raw, keep=("src_ds",)), partitions=_cores(spark))
 
 
-def _experts(pool: DataFrame) -> dict:
-    return {
-        tag: expert_stages(tag, **_SMALL).fit(pool.filter(F.col("src_ds") == tag))
-        for tag in ("nsl", "cic", "bot")
-    }
+_saved_experts: dict[tuple[str, str], dict[str, str]] = {}
+
+
+def _experts(spark, sf_dir, pool: DataFrame) -> dict:
+    """The three experts at their presets; several queries share one fit of a session."""
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _saved_experts:
+        _saved_experts[known] = {
+            tag: sources.save_model(
+                expert_stages(tag).fit(pool.filter(F.col("src_ds") == tag)),
+                sources.shared_dir(spark, f"expert-{tag}"))
+            for tag in ("nsl", "cic", "bot")
+        }
+    return {tag: sources.load_model(path) for tag, path in _saved_experts[known].items()}
 
 
 @query()
 def rf_expert(spark, sf_dir):
     """Metrics of every part of the split."""
     flows = sources.uflow_from(uflow(spark, sf_dir))
-    return train_expert(flows, "bot", partitions=_cores(spark), **_SMALL)["metrics"]
+    return train_expert(flows, "bot", partitions=_cores(spark))["metrics"]
 
 
 @query()
 def score_experts(spark, sf_dir):
     pool = _pool(spark, sf_dir)
-    return ensemble.score_all(pool, _experts(pool), ["row_id", "src_ds", "label"])
+    return ensemble.score_all(pool, _experts(spark, sf_dir, pool), ["row_id", "src_ds", "label"])
 
 
 @query()
 def stack_meta(spark, sf_dir):
     pool = _pool(spark, sf_dir)
-    return stack(pool, _experts(pool), row_key="row_id", maxIter=15)["metrics"]
+    return stack(pool, _experts(spark, sf_dir, pool), row_key="row_id")["metrics"]
 
 
 @query()
 def stack_holdout(spark, sf_dir):
     """Leave-one-source-out: pooled, per source and unseen source."""
     pool = _pool(spark, sf_dir)
-    return stack_leave_one_source_out(pool, _experts(pool), row_key="row_id", maxIter=15)
+    return stack_leave_one_source_out(pool, _experts(spark, sf_dir, pool), row_key="row_id")
 
 
 @query()
@@ -166,29 +169,35 @@ def vote_ensemble(spark, sf_dir):
     train, test = (df.filter(F.col("split") == s).drop("split") for s in ("train", "val"))
     return train_vote(
         train, test, preset="vote_small", row_key=["vec_id"], partitions=_cores(spark),
-        overrides={"rf": {"numTrees": 5, "maxDepth": 5}, "lr": {"maxIter": 20},
-                   "gbt": {"maxIter": 3, "maxDepth": 3}},
     )["predictions"]
 
 
 @query()
 def logit_grid(spark, sf_dir):
-    """A row per configuration, with its tuned threshold."""
-    df = _vectors(spark, sf_dir)
-    found = train_logit_grid(
-        df, df, row_key="vec_id", grid=[(4, 0.01), (8, 0.01)], continuous=True, maxIter=20
-    )
-    return found["search"].trials
+    """A row per configuration of the whole grid, with its tuned threshold."""
+    train, test = _train_and_test(spark, sf_dir)
+    return train_logit_grid(train, test, row_key="vec_id")["search"].trials
+
+
+@query()
+def logit_winner(spark, sf_dir):
+    """Metrics of the grid's winner on rows that neither the fit nor the threshold has seen."""
+    train, test = _train_and_test(spark, sf_dir)
+    return train_logit_grid(train, test, row_key="vec_id")["metrics"]
+
+
+def _train_and_test(spark, sf_dir) -> list[DataFrame]:
+    df = sampling.split_hash(_vectors(spark, sf_dir), "vec_id", TWO_WAY)
+    return [df.filter(F.col("split") == s).drop("split") for s in ("train", "test")]
 
 
 @query()
 def cross_validated(spark, sf_dir):
-    """Average F1 of every setting of a small forest grid."""
+    """Average F1 of every setting of the tuning grid, on the sample the search is meant for."""
     df = stages.indexer("attack_category", "category_label").fit(
         _vectors(spark, sf_dir)).transform(_vectors(spark, sf_dir))
-    rf = stages.forest("vote_small", "category_label", numTrees=4, maxDepth=3)
-    fitted = tuning.cv_tune(df, rf, "category_label", {"numTrees": [3, 4], "maxDepth": [2, 3]},
-                            fraction=1.0)
+    rf = stages.forest("vote_small", "category_label")
+    fitted = tuning.cv_tune(df, rf, "category_label")
     rows = [
         (pm[rf.numTrees], pm[rf.maxDepth], float(m))
         for pm, m in zip(fitted.getEstimatorParamMaps(), fitted.avgMetrics, strict=True)
@@ -200,7 +209,7 @@ def cross_validated(spark, sf_dir):
 def boosted_trees(spark, sf_dir):
     """Predictions of a binary boosted model with balanced row weights."""
     df = weights.with_binary_weights(_vectors(spark, sf_dir), "label", name="binWeight")
-    model = stages.boosted("vote_small", weight="binWeight", maxIter=3, maxDepth=3).fit(df)
+    model = stages.boosted("vote_small", weight="binWeight").fit(df)
     return model.transform(df).select("vec_id", "label", "prediction")
 
 

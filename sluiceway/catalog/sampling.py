@@ -25,8 +25,8 @@ def _bucket_sql(key: str, salt: str = "") -> str:
 
 
 @query(f"""
-    select event_id, case when {_bucket_sql("event_id")} % 100 < 70 then 'train'
-        when {_bucket_sql("event_id")} % 100 < 85 then 'val' else 'test' end as split
+    select event_id, case when {_bucket_sql("event_id", THREE_WAY.salt)} % 100 < 70 then 'train'
+        when {_bucket_sql("event_id", THREE_WAY.salt)} % 100 < 85 then 'val' else 'test' end as split
     from events
 """)
 def split_hash(spark, sf_dir):
@@ -34,7 +34,7 @@ def split_hash(spark, sf_dir):
     return sampling.split_hash(e, "event_id", THREE_WAY)
 
 
-@query(f"select event_id, ({_bucket_sql('event_id')} % 5)::int as fold from events")
+@query(f"select event_id, ({_bucket_sql('event_id', '#fold42')} % 5)::int as fold from events")
 def fold_hash(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id")
     return sampling.hash_folds(e, "event_id", 5, portable=True)
@@ -52,13 +52,10 @@ def fold_xxhash(spark, sf_dir):
 """)
 def leave_one_out(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderstatus", "o_totalprice")
-    # Three known states; an unknown one would be a training row of every holdout.
-    parts: list[DataFrame] = []
-    for group, train, test in sampling.leave_one_group_out(o, "o_orderstatus", ["F", "O", "P"]):
-        for name, df in (("train", train), ("test", test)):
-            parts.append(df.agg(F.count("*").alias("rows"), F.max("o_totalprice").alias("largest"))
-                         .withColumns({"holdout": F.lit(group), "part": F.lit(name)}))
-    return reduce(DataFrame.unionByName, parts)
+    return sampling.held_out_totals(
+        o, "o_orderstatus", {"rows": F.count("*"), "largest": F.max("o_totalprice")},
+        {"rows": F.sum("rows"), "largest": F.max("largest")},
+    )
 
 
 _PLAN_SQL = f"""

@@ -21,7 +21,11 @@ def bucket_protocol(c: Column | str) -> Column:
 
 
 def bucket_port(c: Column | str) -> Column:
-    """IANA range of a port number; null, unparsable or out-of-range ports are invalid."""
+    """IANA range of a port number; null, unparsable or out-of-range ports are invalid.
+
+    Text that is no decimal number, such as a hex port, counts as invalid by choice: calling it
+    dynamic would put it among real port numbers.
+    """
     port = as_column(c).try_cast("double")
     known = F.when(port <= 1023, "well_known").when(port <= 49151, "registered")
     return F.when((port >= 0) & (port <= 65535), known.otherwise("dynamic")).otherwise("invalid")

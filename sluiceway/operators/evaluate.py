@@ -167,26 +167,21 @@ def score_counts(df: DataFrame, score: str, label: str) -> DataFrame:
     )
 
 
-def running_counts(per_score: DataFrame, buckets: int = 512, small: int = 200_000) -> DataFrame:
+def running_counts(per_score: DataFrame, buckets: int = 512) -> DataFrame:
     """To ``score_counts``: both counts over all lower scores.
 
-    Above ``small`` distinct scores the running sum is split: approximate quantiles of the
-    distinct scores cut them into at most ``buckets`` ranges of similar size, each range is
-    summed on its own, and the totals of the (few) ranges before it are added. The result
-    is exact for any cut points, and no task orders more than one range.
+    Approximate quantiles of the distinct scores cut them into at most ``buckets`` ranges of
+    similar size, each range is summed on its own, and the totals of the (few) ranges before
+    it are added. The result is exact for any cut points, and no task orders more than one range.
     """
     before = "rows between unbounded preceding and 1 preceding"
 
     def running(c: str, over: str) -> Column:
         return F.expr(f"coalesce(sum({c}) over ({over} {before}), 0)")
 
-    if per_score.count() <= small:
-        return per_score.select(
-            "*", *[running(c, "order by score").alias(f"{c}_below") for c in ("pos", "neg")]
-        )
     quantiles = [i / buckets for i in range(1, buckets)]
     found = per_score.agg(F.percentile_approx("score", quantiles, 20 * buckets)).first()[0]
-    cuts = sorted({c for c in found if math.isfinite(c)})
+    cuts = sorted({c for c in found or [] if math.isfinite(c)})
     ranges = Bucketizer(
         splits=[float("-inf"), *cuts, float("inf")], inputCol="score", outputCol="range"
     ).transform(per_score)

@@ -8,21 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.functions.parsing import as_column
-from sluiceway.specs import BROADCAST_ROW_LIMIT
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """A broadcast copy of a table that has at most ``rows`` rows, else the table as it is.
-
-    The check computes the table once and keeps the rows, so a broadcast aggregate is not
-    computed again by the join. A table that is too large is joined by a shuffle on its key;
-    adaptive execution splits the partitions of hot keys there.
-    """
-    head = df.limit(rows + 1).collect()
-    if len(head) > rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
-
 
 def attach_row(df: DataFrame, row: DataFrame, name: str) -> DataFrame:
     """Add a one-row table (an aggregate) to every row as a struct column.
@@ -50,7 +35,11 @@ def recover_rows(df: DataFrame, ids: DataFrame, key: str, keep_key: bool = False
 def lookup_default(
     df: DataFrame, table: DataFrame, key: str, value: str, default: float
 ) -> DataFrame:
-    """Add ``value`` from a lookup table (unique keys), or the default where there is none."""
-    right = broadcast_if_small(table.select(key, as_column(value).alias("__value")))
+    """Add ``value`` from a lookup table (unique keys), or the default where there is none.
+
+    A plain left join: adaptive execution broadcasts the table if its measured size allows, and
+    splits the partitions of hot keys if not.
+    """
+    right = table.select(key, as_column(value).alias("__value"))
     joined = df.join(right, key, "left")
     return joined.withColumn(value, F.coalesce("__value", F.lit(default))).drop("__value")

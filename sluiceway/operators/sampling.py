@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,8 +24,20 @@ def sample_fraction(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame
 
 
 def sample_by(df: DataFrame, key: str, fractions: dict, seed: int = 42) -> DataFrame:
-    """Per-class Bernoulli sample; a class without a fraction is left out. No prior count."""
-    return df.sampleBy(key, fractions, seed)
+    """Per-class Bernoulli sample; a class without a fraction is left out. No prior count.
+
+    The class filter reaches the scan; the draw is an expression like any other.
+    """
+    if not fractions:
+        return df.limit(0)
+    limit = None
+    for name, fraction in fractions.items():
+        branch = (as_column(key) == F.lit(name), F.lit(float(fraction)))
+        limit = F.when(*branch) if limit is None else limit.when(*branch)
+    return df.filter(as_column(key).isin(list(fractions))).filter(F.rand(seed) < limit)
+
+
+LARGEST_RATE = 30.0
 
 
 # -- resampling to class targets --------------------------------------------
@@ -60,8 +72,6 @@ def resample_fractions(
 
 def _poisson_steps(rate: float) -> list[float]:
     """P(X <= k) for k = 0, 1, … up to where double precision reaches 1."""
-    if rate > 100:
-        raise ValueError(f"sampling fraction {rate} is too large; lower the cap")
     p = math.exp(-rate)
     total, k, steps = p, 0, []
     while total < 1.0 and p > 1e-18:
@@ -72,14 +82,25 @@ def _poisson_steps(rate: float) -> list[float]:
     return steps
 
 
-def _copies(fraction: float, u: Column, mode: str) -> Column:
+def _copies(fraction: float, draw: Callable[[int], Column], mode: str) -> Column:
+    """Number of copies; ``draw(i)`` is the i-th independent uniform value of a row."""
+    u = draw(0)
     if mode == "whole":
         whole = math.floor(fraction)
         return F.lit(whole) + (u < F.lit(fraction - whole)).cast("int")
     if fraction < 1.0:
         return (u < F.lit(fraction)).cast("int")
-    # Number of steps of the Poisson distribution function that the draw reaches.
-    return reduce(lambda a, b: a + b, [(u >= F.lit(s)).cast("int") for s in _poisson_steps(fraction)])
+    # Number of steps of the Poisson distribution function that the draw reaches. A large rate is
+    # a sum of equal ones, each small enough for its steps to be exact.
+    parts = math.ceil(fraction / LARGEST_RATE)
+    steps = _poisson_steps(fraction / parts)
+    return _sum([(draw(i) >= F.lit(s)).cast("int") for i in range(parts) for s in steps])
+
+
+def _sum(terms: list[Column]) -> Column:
+    """A balanced sum, so that many terms don't make a deep expression."""
+    half = len(terms) // 2
+    return terms[0] if len(terms) == 1 else _sum(terms[:half]) + _sum(terms[half:])
 
 
 def resample_to_target(
@@ -112,14 +133,20 @@ def resample_to_target(
         ]
         rest = df.filter(~listed).sample(True, 1.0, seed)
         return reduce(DataFrame.union, [*parts, rest])
-    u = uniform(*row_key, seed=seed, portable=portable) if row_key else F.rand(seed)
+    def fresh(i: int) -> Column:
+        own = seed + i
+        return uniform(*row_key, seed=own, portable=portable) if row_key else F.rand(own)
+
+    def draw(i: int) -> Column:
+        return F.col("__u") if i == 0 else fresh(i)
+
     copies = None
     for name, f in fractions.items():
-        branch = (as_column(key) == F.lit(name), _copies(f, F.col("__u"), mode))
+        branch = (as_column(key) == F.lit(name), _copies(f, draw, mode))
         copies = F.when(*branch) if copies is None else copies.when(*branch)
-    unlisted = _copies(1.0, F.col("__u"), mode)
+    unlisted = _copies(1.0, draw, mode)
     copies = unlisted if copies is None else copies.otherwise(unlisted)
-    drawn = df.filter(as_column(key).isNotNull()).withColumn("__u", u)
+    drawn = df.filter(as_column(key).isNotNull()).withColumn("__u", fresh(0))
     return (
         drawn.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies)))
         .drop("__u", "__copy")
@@ -147,8 +174,8 @@ def _part_of(position: Column, split: Split, whole: int | float) -> Column:
 
 
 def split_column(key: Column | str, split: Split, buckets: int = 100) -> Column:
-    """Name of the part a key falls into, by hash bucket."""
-    return _part_of(hash_bucket(key, buckets), split, buckets)
+    """Name of the part a key falls into, by hash bucket; seed and parts salt the hash."""
+    return _part_of(hash_bucket(key, buckets=buckets, salt=split.salt), split, buckets)
 
 
 def split_by_row(
@@ -177,19 +204,40 @@ def split_parts(df: DataFrame, key: str, split: Split) -> dict[str, DataFrame]:
 
 
 def hash_folds(
-    df: DataFrame, key: str, k: int, name: str = "fold", portable: bool = False
+    df: DataFrame, key: str, k: int, name: str = "fold", portable: bool = False, seed: int = 42
 ) -> DataFrame:
-    """Add a fold number 0 … k-1 by key hash."""
-    fold = hash_bucket(key, k) if portable else hash_fold(key, k)
+    """Add a fold number 0 … k-1 by key hash, salted with ``#fold`` and the seed."""
+    fold = (hash_bucket(key, buckets=k, salt=f"#fold{seed}") if portable
+            else hash_fold(key, k=k, seed=seed))
     return df.withColumn(name, fold.cast("int"))
 
 
 def leave_one_group_out(
     df: DataFrame, key: str, groups: list
 ) -> Iterator[tuple[object, DataFrame, DataFrame]]:
-    """(group, all other rows, rows of the group) for each group; persist the table first."""
+    """(group, all other rows, rows of the group) for each group; persist the table first.
+
+    Rows without a group are training rows of every group.
+    """
     for g in groups:
-        yield g, df.filter(as_column(key) != F.lit(g)), df.filter(as_column(key) == F.lit(g))
+        own = as_column(key).eqNullSafe(F.lit(g))
+        yield g, df.filter(~own), df.filter(own)
+
+
+def held_out_totals(df: DataFrame, key: str, sums: dict[str, Column], again: dict[str, Column]
+                    ) -> DataFrame:
+    """(holdout, part, totals ...) for every group of the data, from one pass over the table.
+
+    ``sums`` are aggregates per group, ``again`` those that combine them, by the same names.
+    Every group's totals count once for each holdout; a null group is a training part of all.
+    """
+    per = df.groupBy(as_column(key).alias("__group")).agg(
+        *[c.alias(n) for n, c in sums.items()])
+    groups = per.agg(F.collect_set("__group")).scalar()
+    each = per.withColumn("holdout", F.explode(groups))
+    part = F.when(F.col("__group").eqNullSafe(F.col("holdout")), "test").otherwise("train")
+    return each.groupBy("holdout", part.alias("part")).agg(
+        *[c.alias(n) for n, c in again.items()])
 
 
 def add_row_id(

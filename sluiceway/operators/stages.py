@@ -120,9 +120,9 @@ def boosted(preset: str, label: str = "label", features: str = "features",
 
 
 def top_features(k: int, features: str = "features", label: str = "label",
-                 out: str = "sel_features", continuous: bool = False) -> UnivariateFeatureSelector:
-    """The k best features by chi-squared test (categorical values, at most 10,000 distinct
-    per feature) or, with ``continuous``, by ANOVA F-test."""
+                 out: str = "sel_features", continuous: bool = True) -> UnivariateFeatureSelector:
+    """The k best features by ANOVA F-test or, if not ``continuous``, by chi-squared test
+    (categorical values, at most 10,000 distinct per feature)."""
     selector = UnivariateFeatureSelector(
         featuresCol=features, labelCol=label, outputCol=out, selectionMode="numTopFeatures"
     )
@@ -132,7 +132,7 @@ def top_features(k: int, features: str = "features", label: str = "label",
 
 
 def polynomial_logit(k: int, reg: float, label: str = "label", weight: str | None = "weight",
-                     continuous: bool = False, **override) -> Pipeline:
+                     continuous: bool = True, **override) -> Pipeline:
     """k best features, all their degree-2 terms, L2 logistic regression.
 
     Degree 2 makes k (k + 3) / 2 terms, so k bounds the width before the expansion.

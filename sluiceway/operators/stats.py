@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sluiceway.functions.parsing import as_column, nonfinite_to_null
@@ -48,7 +48,7 @@ def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
     """(position, stage, rows) of every named stage, for an audit table.
 
     Each stage is counted by its own scan; in a job use ``observed_count`` instead, which
-    adds the count to work that is done anyway.
+    counts in passing while the job does its work.
     """
     out = None
     for i, (name, df) in enumerate(stages.items()):
@@ -59,6 +59,12 @@ def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def observed_count(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """The table and its row count, filled in by the first action that reads the whole of it."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
 # -- column statistics ------------------------------------------------------
 
 def mean_stats(c: Column) -> dict[str, Column]:
@@ -125,15 +131,15 @@ class _Range:
 
 
 def exact_medians(
-    df: DataFrame, cols: list[str], accuracy: int = 10_000, in_memory: int = 50_000
+    df: DataFrame, cols: list[str], accuracy: int = 10_000
 ) -> dict[str, float | None]:
     """Exact lower median of each column, without sorting and without large states.
 
     Two aggregates over the table per round serve all open columns at once: an approximate
     quantile pair around the median narrows the value range of a column by a factor of
     about ``accuracy / 6``, and counts at both edges keep the rank exact, so the result does
-    not depend on the quality of the approximation. A range that holds at most
-    ``in_memory`` rows is finished by an exact percentile. NaN and infinities count as missing.
+    not depend on the quality of the approximation. Both edges are values of the column, so every
+    round leaves fewer of them, until the rank falls on an edge. NaN and infinities count as missing.
     """
     if not cols:
         return {}
@@ -153,21 +159,10 @@ def exact_medians(
         exprs = []
         for i, (c, r) in enumerate(spans.items()):
             p = (rank[c] - r.below - 0.5) / r.inside
-            if r.inside <= in_memory:
-                exprs.append(F.expr(f"array(percentile_disc({p!r}D) within group (order by v{i}))"))
-            else:
-                edges = [max(p - pad, 0.0), min(p + pad, 1.0)]
-                exprs.append(F.percentile_approx(f"v{i}", edges, accuracy))
+            edges = [max(p - pad, 0.0), min(p + pad, 1.0)]
+            exprs.append(F.percentile_approx(f"v{i}", edges, accuracy))
         found = inner.agg(*[e.alias(f"q{i}") for i, e in enumerate(exprs)]).first()
-        edges_of = {}
-        for i, c in enumerate(spans):
-            q = found[f"q{i}"]
-            if len(q) == 1:
-                done[c] = q[0]
-            else:
-                edges_of[c] = q
-        if not edges_of:
-            break
+        edges_of = {c: found[f"q{i}"] for i, c in enumerate(spans)}
         counts = df.agg(*[
             F.count_if(cond).alias(f"{kind}{i}")
             for i, (c, (low, high)) in enumerate(edges_of.items())

@@ -6,11 +6,13 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sluiceway.functions.scores import class_probability
 from sluiceway.operators.evaluate import best_threshold
@@ -49,9 +51,13 @@ def grid_search_threshold(
 ) -> Search:
     """Fit every (k, reg) on train, tune the F1 threshold on validation, keep the strict best.
 
-    A configuration that fails is recorded with its error and skipped. Scores stay in
-    Spark: one row per configuration reaches the driver. Persist both tables first.
+    A configuration that Spark rejects as an illegal argument is recorded with its error and
+    skipped; any other failure ends the search. Validation rows of both labels are required.
+    Scores stay in Spark: one row per configuration reaches the driver. Persist both tables first.
     """
+    labels = val.agg(F.count_if(F.col(label) == 1.0), F.count_if(F.col(label) == 0.0)).first()
+    if not all(labels):
+        raise ValueError(f"validation needs rows of both labels, it has (1, 0): {tuple(labels)}")
     best, trials = None, []
     for k, reg in LOGIT_GRID if grid is None else grid:
         started = time.monotonic()
@@ -62,7 +68,7 @@ def grid_search_threshold(
                 label, class_probability("probability").alias("score")
             )
             th = best_threshold(scored, "score", label).first()
-        except Exception as e:  # one bad configuration must not end the search
+        except IllegalArgumentException as e:
             trials.append((k, reg, f"failed: {str(e).splitlines()[0][:200]}",
                            None, None, None, None, None))
             continue

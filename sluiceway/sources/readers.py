@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -46,6 +47,11 @@ def _list_files(spark: SparkSession, glob: str) -> list[str]:
     return paths
 
 
+def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
+    line = spark.read.text(path).first()
+    return tuple(next(csv.reader([line["value"].lstrip("\ufeff")]), ())) if line else ()
+
+
 def read_csv_union(spark: SparkSession, glob: str) -> DataFrame:
     """All headed CSV files of a glob as text, united by name; missing columns are null.
 
@@ -54,11 +60,10 @@ def read_csv_union(spark: SparkSession, glob: str) -> DataFrame:
     wrong number of fields are dropped; the parser sees whole rows whatever is selected later.
     """
     paths = _list_files(spark, glob)
-    # Reading a header is a tiny Spark job; many at a time keep a long file list short.
+    # Reading a header is a tiny Spark job; many at a time keep a long file list short. The line
+    # is taken as text: the CSV reader would rename repeated headers before they are seen here.
     with ThreadPoolExecutor(16) as pool:
-        headers = list(pool.map(
-            lambda path: tuple(spark.read.option("header", True).csv(path).columns), paths
-        ))
+        headers = list(pool.map(lambda path: _header(spark, path), paths))
     layouts: dict[tuple[str, ...], list[str]] = {}
     for path, header in zip(paths, headers, strict=True):
         layouts.setdefault(header, []).append(path)

@@ -126,9 +126,6 @@ CV_GRID = {"numTrees": [60, 80], "maxDepth": [10, 12]}
 # interpreted, several times slower. With this limit Spark splits them up instead.
 SESSION_SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
-# A table is only ever broadcast by request after a check that it has at most this many rows.
-BROADCAST_ROW_LIMIT = 10_000
-
 
 @dataclass(frozen=True)
 class Split:
@@ -143,6 +140,14 @@ class Split:
         if abs(sum(self.parts.values()) - 1.0) > 1e-9:
             raise ValueError(f"split fractions must sum to 1, got {self.parts}")
 
+    @property
+    def salt(self) -> str:
+        """Appended to a key before it is hashed: ``#split42:train/val/test``.
+
+        Splits with other parts or another seed are independent, so a part can be split again.
+        """
+        return f"#split{self.seed}:{'/'.join(self.parts)}"
+
 
 THREE_WAY = Split()
 TWO_WAY = Split({"train": 0.80, "test": 0.20})
