@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +23,28 @@ def quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def packed(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The text column as compressed bytes, for joins that move whole texts; ``unpacked`` reads it."""
+    at = df.columns.index(text_col)
+    fields = [f"`{n}` {'binary' if n == text_col else t}" for n, t in df.dtypes]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            texts = batch.column(at).cast(pa.large_binary())
+            small = [press(x.as_buffer()) if x.is_valid else None for x in texts]
+            yield batch.set_column(at, text_col, pa.array(small, pa.binary()))
+
+    return df.mapInArrow(run, ", ".join(fields))
+
+
+def unpacked(column: pa.Array) -> Iterator[bytes]:
+    """The texts of a packed column; null as empty."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    for x in column:
+        yield open_(x.as_buffer()) if x.is_valid else b""
+
+
 def split_count(df: DataFrame, per_part: int, rows: int) -> int:
     """Parts of about ``per_part`` rows, at least one for each shuffle partition of the session."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
