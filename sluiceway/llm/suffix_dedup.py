@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.llm import textops
-from sluiceway.llm.common import quoted, text_of
+from sluiceway.llm.common import packed, quoted, text_of, unpacked
 from sluiceway.sources import lineage_cut
 
 LENGTH = 400
@@ -204,19 +204,17 @@ def _find_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             ], ["id", "key", "first", "last", "anchor", "context"])
 
 
-_BYTES = "anchor long, context long, copies long, data binary"
+_BYTES = "shard long, anchor long, context long, copies long, spread boolean, data binary"
 
 
 def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         size = 0
-        texts, lists = batch.column(0), batch.column(1).to_pylist()
-        for text, wanted in zip(texts, lists, strict=True):
-            data = text.as_buffer().to_pybytes() if text.is_valid else b""
+        for data, wanted in zip(unpacked(batch.column(0)), batch.column(1).to_pylist(), strict=True):
             for w in wanted:
                 piece = data[w["first"] : w["last"] + LENGTH]
-                rows.append((w["anchor"], w["context"], w["copies"], piece))
+                rows.append((w["shard"], w["anchor"], w["context"], w["copies"], w["spread"], piece))
                 size += len(piece)
             if size > 1 << 23:
                 yield _byte_rows(rows)
@@ -225,11 +223,11 @@ def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _byte_rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    names = [x.split()[0] for x in _BYTES.split(", ")]
+    kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
+    columns = list(zip(*rows, strict=True)) or [[] for _ in names]
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-        ["anchor", "context", "copies", "data"])
+        [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 _MARKS = "kind int, part int, anchor long, context long, runs array<int>, strings binary"
@@ -309,8 +307,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, marks = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
         kept, spans, sizes = [], [], []
-        for text, lists in zip(texts, marks, strict=True):
-            data = text.as_buffer().to_pybytes() if text.is_valid else b""
+        for data, lists in zip(unpacked(texts), marks, strict=True):
             sizes.append(len(data))
             found: list[list[int]] = []
             if lists.is_valid:
@@ -349,33 +346,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = lineage_cut(read.mapInArrow(_find_contexts, _CONTEXTS))
     twice = found.groupBy("anchor").count().filter("count > 1").select("anchor")
     cand = lineage_cut(found.join(twice, "anchor"))
-    # A document is named by its id, null or not, and the hash of id and text.
-    unique = cand.groupBy("anchor", "context").agg(
+    unique = lineage_cut(cand.groupBy("anchor", "context").agg(
         F.count("*").alias("copies"), F.min(F.struct("key", "id", "first", "last")).alias("at")
+    ).withColumn("bytes", (F.col("at.last") - F.col("at.first") + LENGTH).cast("long")))
+    sized = unique.groupBy("anchor").agg(F.sum("bytes").alias("all"))
+    large = F.col("all") > SPREAD_BYTES
+    total = sized.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("bytes"),
+                      F.coalesce(F.sum(F.when(large, F.col("all"))), F.lit(0)).alias("spread")).first()
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total["bytes"] // SHARD_BYTES)
+    ranges = max(1, total["spread"] // SHARD_BYTES)
+    share = F.pmod(F.col("context"), F.ceil(F.col("all") / SPREAD_BYTES))
+    shard = F.when(large, F.xxhash64("anchor", share)).otherwise(
+        F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    wanted = (
+        unique.join(sized, "anchor")
+        .groupBy(F.col("at.key").alias("key"), F.col("at.id").alias("id"))
+        .agg(F.collect_list(F.struct(
+            shard.alias("shard"), "anchor", "context", "copies", large.alias("spread"),
+            F.col("at.first").alias("first"), F.col("at.last").alias("last"))).alias("wanted"))
     )
-    wanted = unique.groupBy(F.col("at.key").alias("key"), F.col("at.id").alias("id")).agg(
-        F.collect_list(F.struct("anchor", "context", "copies", F.col("at.first").alias("first"),
-                                F.col("at.last").alias("last"))).alias("wanted"))
-    left, right = read.alias("l"), wanted.alias("r")
+    # A document is named by its id, null or not, and the hash of id and text.
+    small = packed(read)
     here = (F.col("l.key") == F.col("r.key")) & F.col("l.id").eqNullSafe(F.col("r.id"))
-    pieces = lineage_cut(
-        left.join(right, here).select("text", "wanted").mapInArrow(_cut_contexts, _BYTES)
-        .dropDuplicates(["anchor", "context"])
+    pieces = (
+        small.alias("l").join(wanted.alias("r"), here).select("l.key", "l.id", "text", "wanted")
+        .dropDuplicates(["key", "id"]).select("text", "wanted").mapInArrow(_cut_contexts, _BYTES)
     )
-    sized = pieces.groupBy("anchor").agg(F.sum(F.length("data")).alias("bytes"))
-    total = sized.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("all"),
-                      F.coalesce(F.sum(F.when(F.col("bytes") > SPREAD_BYTES, F.col("bytes"))),
-                                 F.lit(0)).alias("spread")).first()
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total["all"] // SHARD_BYTES)
-    ranges = max(1, total["spread"] // SHARD_BYTES)
-    placed = pieces.join(sized, "anchor").withColumn("spread", F.col("bytes") > SPREAD_BYTES)
-    share = F.pmod(F.col("context"), F.ceil(F.col("bytes") / SPREAD_BYTES))
-    shard = F.when(F.col("spread"), F.xxhash64("anchor", share)).otherwise(
-        F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     marks = lineage_cut(
-        placed.withColumn("shard", shard).select(
-            "shard", "anchor", "context", "copies", "spread", "data"
-        ).groupBy("shard").applyInArrow(_mark_shard(ranges), _MARKS)
+        pieces.groupBy("shard").applyInArrow(_mark_shard(ranges), _MARKS)
     )
     runs = marks.filter("kind = 0")
     if total["spread"]:
@@ -386,5 +384,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         cand.join(runs, ["anchor", "context"]).groupBy("key", "id")
         .agg(F.collect_list(F.struct("first", "runs")).alias("marks"))
     )
-    joined = read.alias("l").join(by_document.alias("r"), here, "left").select("l.id", "text", "marks")
+    joined = small.alias("l").join(by_document.alias("r"), here, "left").select("l.id", "text", "marks")
     return joined.mapInArrow(_removed, "id long, n_bytes long, spans array<int>, kept binary")
