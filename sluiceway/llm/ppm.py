@@ -28,7 +28,7 @@ from sluiceway.llm.common import quoted, text_of
 from sluiceway.sources import lineage_cut
 
 ORDER = 5
-GRAMS_PER_ORDER = 1 << 20  # size of the model: the most frequent grams of every order
+GRAMS_PER_ORDER = 1 << 20  # bounds the model: the most frequent grams of every order
 KNOWN_WORDS = 1 << 19  # word counts that every task holds; other words are looked up by a join
 TALLY_SYMBOLS = 1 << 23  # counted together in a task
 TALLY_CODES = 1 << 21  # different codes a task holds before it hands them on
@@ -278,8 +278,13 @@ def _count(order: int):
 
 
 def _largest(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    top = counts.orderBy(F.desc("n"), "code").limit(most).toPandas()
-    return top["code"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    """The codes with the largest counts, about ``most`` at the most; ties at the limit are out."""
+    rows = counts.count()
+    if rows > most:
+        least = F.percentile_approx("n", 1 - most / rows, 10_000)
+        counts = counts.filter(F.col("n") > counts.agg(least).first()[0])
+    top = counts.select("code", "n").toArrow()
+    return top["code"].to_numpy().view(np.uint64), top["n"].to_numpy()
 
 
 @dataclass(frozen=True)

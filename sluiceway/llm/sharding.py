@@ -101,7 +101,7 @@ def _sized(docs: DataFrame, text_col: str) -> DataFrame:
 def shard_plan(sized: DataFrame, shards: int) -> pd.DataFrame:
     """One row per group, at most ``GROUPS``: its shard and the rows before that shard."""
     got = sized.groupBy("_group").agg(F.sum("_size").alias("size"), F.count("*").alias("rows"))
-    got = got.toPandas().sort_values("_group", ignore_index=True)
+    got = got.toArrow().to_pandas().sort_values("_group", ignore_index=True)
     if got.empty:
         return pd.DataFrame({"_group": [], "shard": [], "first": []}, dtype="int64")
     ends = minimax_cuts(got["size"].to_numpy(), shards)
