@@ -175,20 +175,26 @@ def vote_ensemble(spark, sf_dir):
 @query()
 def logit_grid(spark, sf_dir):
     """A row per configuration of the whole grid, with its tuned threshold."""
-    train, test = _train_and_test(spark, sf_dir)
-    return train_logit_grid(train, test, row_key="vec_id")["search"].trials
+    return _search(spark, sf_dir)["search"].trials
 
 
 @query()
 def logit_winner(spark, sf_dir):
     """Metrics of the grid's winner on rows that neither the fit nor the threshold has seen."""
-    train, test = _train_and_test(spark, sf_dir)
-    return train_logit_grid(train, test, row_key="vec_id")["metrics"]
+    return _search(spark, sf_dir)["metrics"]
 
 
-def _train_and_test(spark, sf_dir) -> list[DataFrame]:
-    df = sampling.split_hash(_vectors(spark, sf_dir), "vec_id", TWO_WAY)
-    return [df.filter(F.col("split") == s).drop("split") for s in ("train", "test")]
+_searches: dict[tuple[str, str], dict] = {}
+
+
+def _search(spark, sf_dir) -> dict:
+    """The grid search on a held-out split; several queries share one search of a session."""
+    known = (spark.sparkContext.applicationId, sf_dir)
+    if known not in _searches:
+        df = sampling.split_hash(_vectors(spark, sf_dir), "vec_id", TWO_WAY)
+        train, test = (df.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
+        _searches[known] = train_logit_grid(train, test, row_key="vec_id")
+    return _searches[known]
 
 
 @query()
