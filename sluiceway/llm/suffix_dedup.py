@@ -28,8 +28,8 @@ from sluiceway.sources import lineage_cut
 
 LENGTH = 400
 GRAM = 64
-SHARD_BYTES = 1 << 22  # context bytes of a shard on average
-SPREAD_BYTES = 1 << 21  # an anchor with more context bytes is spread over shards
+SHARD_BYTES = 1 << 21  # context bytes of a shard on average
+SPREAD_BYTES = 1 << 20  # an anchor with more context bytes is spread over shards
 _WINDOW = LENGTH - GRAM + 1  # gram positions of a string
 
 

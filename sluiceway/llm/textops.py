@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 SHINGLE_WORDS = 5
 
 # White space of the word rule [^\x20\x09-\x0D]+ and the lower case of A-Z.
