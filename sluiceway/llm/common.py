@@ -8,6 +8,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sluiceway.sources import lineage_cut
 
@@ -45,6 +46,19 @@ def unpacked(column: pa.Array) -> Iterator[bytes]:
         yield open_(x.as_buffer()) if x.is_valid else b""
 
 
+def restored(df: DataFrame, schema: StructType, text_col: str = "text") -> DataFrame:
+    """A packed table with its texts again; nulls stay nulls."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            texts = [open_(x.as_buffer()).decode() if x.is_valid else None for x in batch.column(at)]
+            yield batch.set_column(at, text_col, pa.array(texts, pa.string()))
+
+    return df.mapInArrow(run, schema)
+
+
 def split_count(df: DataFrame, per_part: int, rows: int) -> int:
     """Parts of about ``per_part`` rows, at least one for each shuffle partition of the session."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
