@@ -1,11 +1,15 @@
 """Language-model scores by prediction by partial matching over bytes.
 
-The trie of byte contexts is kept as one sorted table per order: a gram is a context and the byte that
-followed it, in one integer. A byte is predicted by the longest known context; if it was never seen
-there, the model escapes to the next shorter one (escape estimate D: every symbol seen gives half a count
-to what was not seen), where the symbols of the longer context are excluded. The model is trained on all training
-texts and then fixed; what of it depends on the context alone is summed up along the suffixes in
-advance, so that a byte needs one or two table look-ups.
+The trie of byte contexts is kept as one table per order in the shared folder, a row for each context: a
+gram is a context and the byte that followed it, in one integer. A byte is predicted by the longest known
+context; if it was never seen there, the model escapes to the next shorter one (escape estimate D: every
+symbol seen gives half a count to what was not seen), where the symbols of the longer context are
+excluded. The model is trained on all training texts and then fixed, and no gram is left out of it; what
+depends on the context alone is summed up along the suffixes in advance.
+
+The probability of a byte depends on its code alone. Tasks hold the values of the most frequent grams;
+all other codes are collected per text, scored once each by joins with the tables of all orders, and
+summed up per text. How many grams tasks hold changes no result.
 
 Texts are modelled as their lower-cased words, each followed by a space, the last by the end symbol,
 a byte that UTF-8 never uses. So the score is comparable with the word base, which adds one to the
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +33,7 @@ from sluiceway.llm.common import quoted, text_of
 from sluiceway.sources import lineage_cut
 
 ORDER = 5
-GRAMS_PER_ORDER = 1 << 20  # bounds the model: the most frequent grams of every order
+KNOWN_GRAMS = 1 << 20  # gram values that every task holds; other codes are scored by joins
 KNOWN_WORDS = 1 << 19  # word counts that every task holds; other words are looked up by a join
 TALLY_SYMBOLS = 1 << 23  # counted together in a task
 TALLY_CODES = 1 << 21  # different codes a task holds before it hands them on
@@ -179,7 +184,7 @@ class Trie:
 
 
 class Scorer:
-    """The trie with its hash tables, built once per task."""
+    """A trie with its hash tables, for scores without Spark."""
 
     def __init__(self, trie: Trie):
         self.trie = trie
@@ -277,56 +282,116 @@ def _count(order: int):
     return run
 
 
-def _largest(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+def _largest(counts: DataFrame, most: int, value: str = "n") -> tuple[np.ndarray, np.ndarray]:
     """The codes with the largest counts, about ``most`` at the most; ties at the limit are out."""
     rows = counts.count()
     if rows > most:
         least = F.percentile_approx("n", 1 - most / rows, 10_000)
         counts = counts.filter(F.col("n") > counts.agg(least).first()[0])
-    top = counts.select("code", "n").toArrow()
-    return top["code"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    top = counts.select("code", value).toArrow()
+    return top["code"].to_numpy().view(np.uint64), top[value].to_numpy()
 
 
 @dataclass(frozen=True)
 class Model:
-    trie: Trie
+    nodes: list[DataFrame]  # per order all contexts: context, total, kinds, symbols, seen, down
+    most: int
+    top_grams: tuple[np.ndarray, np.ndarray]  # of the highest order: codes, log10 of probabilities
+    symbols: int  # different symbols in all training texts
     words: DataFrame  # code, n: all training words
     top_words: tuple[np.ndarray, np.ndarray]
     tokens: int  # all training tokens, end tokens included
     kinds: int
     ends: int
 
+    @property
+    def order(self) -> int:
+        return len(self.nodes) - 1
+
     @property
     def unit(self) -> float:
         """Log10 of the base's denominator."""
         return float(np.log10(self.tokens + self.kinds + 1))
 
+    @cached_property
+    def trie(self) -> Trie:
+        """A smaller model of the ``most`` most frequent grams of every order; ``score`` has all."""
+        return Trie.of([_largest(_grams_of(node), self.most) for node in self.nodes])
+
+
+def _context(code: Column, order: int, k: int) -> Column:
+    """The ``k`` symbols before the last one."""
+    part = code if k == order else code.bitwiseAND(F.lit(int(_mask(k))))
+    return F.shiftrightunsigned(part, 8)
+
+
+def _joined(left: DataFrame, node: DataFrame, k: int, key: Column, how: str) -> DataFrame:
+    """``left`` with the contexts of ``k`` symbols. There are at most 256 of one symbol."""
+    node = node.withColumnRenamed("context", "_context")
+    return left.join(F.broadcast(node) if k < 2 else node, key == F.col("_context"), how)
+
+
+def _grams_of(node: DataFrame) -> DataFrame:
+    """code, n, value: a row for each gram, with log10 of its probability in its own context."""
+    rows = node.select("context", "total", F.explode("symbols").alias("symbol", "n"))
+    return rows.select(
+        F.shiftleft("context", 8).bitwiseOR(F.col("symbol")).alias("code"), "n",
+        F.log10((2 * F.col("n") - 1) / (2 * F.col("total"))).alias("value"),
+    )
+
+
+def _node(level: DataFrame, k: int, shorter: DataFrame | None) -> DataFrame:
+    """All contexts of ``k`` symbols: their counts, and in ``down`` the log10 of what escapes from them
+    to the empty context give, in ``seen`` that of what is left in the next shorter context."""
+    entry = F.struct(F.col("code").bitwiseAND(F.lit(255)).alias("s"), "n")
+    node = level.groupBy(F.shiftrightunsigned("code", 8).alias("context")).agg(
+        F.sum("n").alias("total"), F.count("*").alias("kinds"),
+        F.map_from_entries(F.collect_list(entry)).alias("symbols"),  # at most 256
+    )
+    zero = F.lit(0.0)
+    if shorter is None:
+        return lineage_cut(node.withColumns({"seen": zero, "down": zero}))
+    up = shorter.select("context", *[F.col(c).alias(f"_{c}")
+                                     for c in ("total", "kinds", "symbols", "down")])
+    short = F.col("context").bitwiseAND(F.lit(int(_mask(k - 2)) if k > 1 else 0))
+    taken = F.aggregate(F.map_keys("symbols"), F.lit(0).cast("long"),
+                        lambda n, s: n + F.col("_symbols")[s])
+    new = F.col("_kinds") - F.col("kinds")
+    both = _joined(node, up, k - 1, short, "inner").withColumn(
+        "seen", F.log10(F.greatest(2 * (F.col("_total") - taken), F.lit(1))))
+    step = F.when(new > 0, F.log10(new) - F.col("seen")).otherwise(zero)
+    return lineage_cut(both.select("context", "total", "kinds", "symbols", "seen",
+                                   (F.col("_down") + step).alias("down")))
+
 
 def train(texts: DataFrame, text_col: str = "text", order: int = ORDER,
-          most: int = GRAMS_PER_ORDER) -> Model:
-    """Counts all texts. The model's size is fixed by ``order`` and ``most``; the counts are not."""
+          most: int | None = None) -> Model:
+    """Counts all texts. All grams are in the model; tasks hold the values of about ``most``."""
+    most = KNOWN_GRAMS if most is None else most
     read = texts.select(text_of(text_col).alias("text"))
     counted = read.mapInArrow(_count(order), _COUNTS)
     counts = lineage_cut(counted.groupBy("kind", "code").agg(F.sum("n").alias("n")))
     words = counts.filter("kind = 1").select("code", "n")
-    level = counts.filter("kind = 0").select("code", "n")
-    tables = [_largest(level, most)]
+    levels = [counts.filter("kind = 0").select("code", "n")]
     for k in range(order - 1, -1, -1):
         code = F.col("code").bitwiseAND(F.lit(int(_mask(k))))
-        level = level.groupBy(code.alias("code")).agg(F.sum("n").alias("n"))
-        level = lineage_cut(level) if k == order - 1 else level
-        tables.append(_largest(level, most))
+        levels.append(lineage_cut(
+            levels[-1].groupBy(code.alias("code")).agg(F.sum("n").alias("n"))))
+    nodes: list[DataFrame] = []
+    for k, level in enumerate(levels[::-1]):
+        nodes.append(_node(level, k, nodes[-1] if nodes else None))
     sums = words.agg(F.count("*").alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     ends = int(read.count())
-    return Model(Trie.of(tables[::-1]), words, _largest(words, KNOWN_WORDS), sums.n + ends,
-                 sums.kinds + (ends > 0), ends)
+    return Model(nodes, most, _largest(_grams_of(nodes[-1]), most, "value"), levels[-1].count(),
+                 words, _largest(words, KNOWN_WORDS), sums.n + ends, sums.kinds + (ends > 0), ends)
 
 
 def _score(model: Model):
-    trie, (codes, counts), has_end = model.trie, model.top_words, int(model.ends > 0)
+    order, (gram_codes, values) = model.order, model.top_grams
+    (codes, counts), has_end = model.top_words, int(model.ends > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(trie)
+        held = Lookup.of(gram_codes)
         known = Lookup.of(codes)
         logs = np.log10(counts + 1.0)
         for batch in batches:
@@ -334,10 +399,27 @@ def _score(model: Model):
             n = len(offsets) - 1
             score, base, n_words, n_known = np.zeros(n), np.zeros(n), np.zeros(n, int), np.zeros(n, int)
             rare: list[np.ndarray] = []
+            other: list[np.ndarray] = []
+            times: list[np.ndarray] = []
             for lo, hi in textops.slices(offsets):
                 part, own = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
                 stream, upto = streams(part, own)
-                score[lo:hi] = np.add.reduceat(scorer.logs(grams(stream, upto, trie.order)), upto[:-1])
+                code = grams(stream, upto, order)
+                row = held.find(code)
+                owner = np.repeat(np.arange(hi - lo), np.diff(upto))
+                hit = row >= 0
+                score[lo:hi] = np.bincount(owner[hit], values[row[hit]], hi - lo)
+                code, owner = code[~hit], owner[~hit]
+                at = np.lexsort((code, owner))
+                code, owner = code[at], owner[at]
+                new = np.ones(len(code), bool)  # a code once for each text
+                new[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
+                first = np.flatnonzero(new)
+                many = np.diff(np.append(first, len(code)))
+                cuts = np.searchsorted(owner[first], np.arange(hi - lo + 1))
+                code = code[first].view(np.int64)
+                other += [code[cuts[i] : cuts[i + 1]] for i in range(hi - lo)]
+                times += [many[cuts[i] : cuts[i + 1]] for i in range(hi - lo)]
                 hashes, words = textops.word_hashes(part, own)
                 row = known.find(hashes)
                 owner = np.repeat(np.arange(hi - lo), np.diff(words))
@@ -348,42 +430,86 @@ def _score(model: Model):
                 missed, cuts = hashes[~hit].view(np.int64), np.searchsorted(
                     owner[~hit], np.arange(hi - lo + 1))
                 rare += [missed[cuts[i] : cuts[i + 1]] for i in range(hi - lo)]
+            lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([
                 *batch.columns[:-1], pa.array(n_words + 1, pa.int64()),
                 pa.array(n_known + has_end, pa.int64()), pa.array(base), pa.array(score),
-                pa.array(rare, pa.list_(pa.int64())),
-            ], [*batch.schema.names[:-1], "n_tokens", "n_known", "base_part", "score", "rare"])
+                pa.array(rare, lists), pa.array(other, lists), pa.array(times, lists),
+            ], [*batch.schema.names[:-1], "n_tokens", "n_known", "base_part", "score_part", "rare",
+                "other", "times"])
 
     return run
 
 
+def _logs(codes: DataFrame, model: Model) -> DataFrame:
+    """code, value: log10 of the probability of every code's last symbol, from all orders' tables.
+
+    ``_open``: no context was known yet. ``_leave``: what the next longer context, if it is known, takes off
+    a count in this one.
+    """
+    symbol = F.col("code").bitwiseAND(F.lit(255))
+    out = codes.select("code", F.lit(0.0).alias("value"), F.lit(False).alias("_done"),
+                       F.lit(True).alias("_open"), F.lit(0.0).alias("_leave"))
+    for k in range(model.order, -1, -1):
+        code = F.col("code")
+        node = model.nodes[k].select("context", "total", "kinds", "symbols",
+                                     F.col("seen").alias("_seen"), F.col("down").alias("_down"))
+        both = _joined(out, node, k, _context(code, model.order, k), "left")
+        both = both.withColumn("_n", F.col("symbols")[symbol])
+        done, open_, n, total = (F.col(c) for c in ("_done", "_open", "_n", "total"))
+        value, known = F.col("value"), total.isNotNull()
+        own = F.log10((2 * n - 1) / (2 * total))
+        after = value + F.log10(2 * n - 1) - F.col("_leave")
+        out = both.select(
+            "code",
+            F.when(done, value).when(n.isNotNull(), F.when(open_, own).otherwise(after))
+            .when(open_ & known, F.log10(F.col("kinds") / (2 * total)) + F.col("_down"))
+            .otherwise(value).alias("value"),
+            (done | n.isNotNull()).alias("_done"),
+            (open_ & ~known).alias("_open"),
+            F.when(known, F.col("_seen") + F.col("_down")).otherwise(F.col("_leave")).alias("_leave"),
+        )
+    unseen = -float(np.log10(max(256 - model.symbols, 1)))
+    return out.select("code", F.when(F.col("_done"), F.col("value"))
+                      .otherwise(F.col("value") + unseen).alias("value"))
+
+
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
           text_col: str = "text") -> DataFrame:
     """Row by row: the ``keep`` columns, n_tokens, n_known, base_score, score.
 
     A null text is an empty one: its end token alone is scored. Without training texts every symbol
-    is equally likely. Words outside of the table that every task holds are exact, too: their counts are
-    joined by word, and a document's rare words come back as one sum.
+    is equally likely. Words and codes outside of the tables that every task holds are exact, too: they
+    are joined with the tables of all words and all contexts, and come back as one sum per document.
     """
     names = [c for c in keep if c in docs.columns]
     read = docs.select(*[quoted(c) for c in names], text_of(text_col).alias("_scored_text"))
     schema = StructType(read.schema.fields[:-1]).add("n_tokens", "long").add("n_known", "long").add(
-        "base_part", "double").add("score", "double").add("rare", ArrayType(LongType()))
+        "base_part", "double").add("score_part", "double")
+    for name in ("rare", "other", "times"):
+        schema = schema.add(name, ArrayType(LongType()))
     rows = lineage_cut(
         read.mapInArrow(_score(model), schema).withColumn("_row", F.monotonically_increasing_id())
     )
+    zero = F.lit(0.0)
     rare = (
-        rows.select("_row", F.explode("rare").alias("code"))
-        .join(model.words, "code").groupBy("_row")
-        .agg(F.count("*").alias("_more"), F.sum(F.log10(F.col("n") + 1)).alias("_logs"))
+        rows.select("_row", F.explode("rare").alias("code")).join(model.words, "code")
+        .select("_row", F.lit(1).alias("_more"), F.log10(F.col("n") + 1).alias("_base"),
+                zero.alias("_score"))
     )
-    zero = F.lit(0.0)
-    base = (F.col("base_part") + F.coalesce("_logs", zero) + float(np.log10(model.ends + 1.0))
+    other = rows.select("_row", F.explode(F.arrays_zip("other", "times")).alias("e")).select(
+        "_row", F.col("e.other").alias("code"), F.col("e.times").alias("times"))
+    other = other.join(_logs(other.select("code").distinct(), model), "code").select(
+        "_row", F.lit(0).alias("_more"), zero.alias("_base"),
+        (F.col("times") * F.col("value")).alias("_score"))
+    sums = rare.union(other).groupBy("_row").agg(
+        *[F.sum(c).alias(c) for c in ("_more", "_base", "_score")])
+    base = (F.col("base_part") + F.coalesce("_base", zero) + float(np.log10(model.ends + 1.0))
             - F.col("n_tokens") * model.unit)
-    return rows.join(rare, "_row", "left").select(
+    return rows.join(sums, "_row", "left").select(
         *[quoted(c) for c in names], "n_tokens",
         (F.col("n_known") + F.coalesce("_more", F.lit(0))).alias("n_known"),
-        base.alias("base_score"), "score",
+        base.alias("base_score"), (F.col("score_part") + F.coalesce("_score", zero)).alias("score"),
     )
 
 
