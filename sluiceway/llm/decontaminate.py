@@ -130,12 +130,15 @@ def _matches(read: DataFrame, items: DataFrame, size: int) -> DataFrame:
         # The outer form: for the other one Spark derives a filter that splits the text per shingle.
         .select("key", F.size("g").alias("n"), F.posexplode_outer("g").alias("pos", "gram"))
     )
-    # Of each alignment: how many shingles lie on it. Only long enough ones can reach 0.8.
-    runs = (
+    # Of each alignment: how many shingles lie on it. Only texts with a long enough one can reach 0.8,
+    # but the window that does may start on another one.
+    runs = lineage_cut(
         spread.join(grams, "gram").groupBy("key", "item_id", "m", "n",
                                            (F.col("pos") - F.col("off")).alias("start"))
-        .count().filter(F.col("count") >= least_run(F.least("m", "n")))
+        .count()
     )
+    long_ = runs.filter(F.col("count") >= least_run(F.least("m", "n"))).select("key", "item_id")
+    runs = runs.join(long_.distinct(), ["key", "item_id"], "left_semi")
     first = F.greatest(F.lit(0), F.least(F.col("start"), F.col("n") - F.col("m")))
     windows = lineage_cut(runs.select("key", "m", first.cast("int").alias("start")).distinct())
     texts = windows.join(read, "key").select(
