@@ -94,13 +94,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Items of fewer than five words are one shingle of that many words. Null or wordless texts and
     items match nothing. A text shorter than an item is one window. Rows repeated in id and text give
-    one result row. The item shingles are broadcast if they are few; else that join shuffles.
+    one result row; texts and items that share an id, or have none, have rows of their own. The item
+    shingles are broadcast if they are few; else that join shuffles.
     """
+    return _found(docs, benchmark, id_col, text_col, item_col).drop("key")
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(quoted(id_col), text_of(text_col))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
+           item_col: str) -> DataFrame:
+    """The rows of ``contaminated`` with the text's ``key``, which is known without an id, too."""
     items = benchmark.select(quoted(item_col).alias("item_id"),
                              words_of(text_of("text")).alias("w")).filter("size(w) > 0").distinct()
-    items = lineage_cut(items)
+    items = lineage_cut(items.withColumn("item", F.xxhash64("item_id", "w")))
     read = docs.select(
-        F.xxhash64(quoted(id_col), text_of(text_col)).alias("key"), quoted(id_col).alias("id"),
+        _key(id_col, text_col).alias("key"), quoted(id_col).alias("id"),
         text_of(text_col).alias("text"),
     )
     found = None
@@ -111,17 +122,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         found = part if found is None else found.union(part)
     if found is None:
         return docs.sparkSession.createDataFrame(
-            [], f"id {docs.schema[id_col].dataType.simpleString()}, item_id "
+            [], f"key long, id {docs.schema[id_col].dataType.simpleString()}, item_id "
             f"{benchmark.schema[item_col].dataType.simpleString()}, similarity double, hamming int, "
             "first_word int")
     return found
 
 
 def _matches(read: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    items = lineage_cut(items.select("item_id", gram_hashes(F.col("w"), size).alias("grams"))
+    items = lineage_cut(items.select("item", "item_id", gram_hashes(F.col("w"), size).alias("grams"))
                         .withColumn("m", F.size("grams"))
                         .withColumn("fp", simhash(F.col("grams"))))
-    grams = items.select("item_id", "m", F.posexplode("grams").alias("off", "gram"))
+    grams = items.select("item", "m", F.posexplode("grams").alias("off", "gram"))
     if grams.count() <= BROADCAST_ROWS:
         grams = F.broadcast(grams)
     spread = (
@@ -133,12 +144,12 @@ def _matches(read: DataFrame, items: DataFrame, size: int) -> DataFrame:
     # Of each alignment: how many shingles lie on it. Only texts with a long enough one can reach 0.8,
     # but the window that does may start on another one.
     runs = lineage_cut(
-        spread.join(grams, "gram").groupBy("key", "item_id", "m", "n",
+        spread.join(grams, "gram").groupBy("key", "item", "m", "n",
                                            (F.col("pos") - F.col("off")).alias("start"))
         .count()
     )
-    long_ = runs.filter(F.col("count") >= least_run(F.least("m", "n"))).select("key", "item_id")
-    runs = runs.join(long_.distinct(), ["key", "item_id"], "left_semi")
+    long_ = runs.filter(F.col("count") >= least_run(F.least("m", "n"))).select("key", "item")
+    runs = runs.join(long_.distinct(), ["key", "item"], "left_semi")
     first = F.greatest(F.lit(0), F.least(F.col("start"), F.col("n") - F.col("m")))
     windows = lineage_cut(runs.select("key", "m", first.cast("int").alias("start")).distinct())
     texts = windows.join(read, "key").select(
@@ -150,16 +161,16 @@ def _matches(read: DataFrame, items: DataFrame, size: int) -> DataFrame:
         .withColumn("fp", simhash(F.col("grams")))
     )
     probe = printed.select("key", "start", "m", "fp", F.explode(blocks(F.col("fp"))).alias("e"))
-    target = items.select("item_id", "m", F.col("fp").alias("item_fp"),
+    target = items.select("item", "m", F.col("fp").alias("item_fp"),
                           F.explode(blocks(F.col("fp"))).alias("e"))
     near = (
         probe.join(target, ["m", "e"])
         .withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
         .filter(F.col("hamming") <= RADIUS)
-        .select("key", "start", "m", "item_id", "hamming").distinct()
+        .select("key", "start", "m", "item", "hamming").distinct()
     )
     both = near.join(printed.select("key", "id", "start", "m", "grams"), ["key", "start", "m"]).join(
-        items.select("item_id", "m", F.col("grams").alias("item_grams")), ["item_id", "m"]
+        items.select("item", "item_id", "m", F.col("grams").alias("item_grams")), ["item", "m"]
     )
     shared = both.withColumn("common", shared_weight(F.col("grams"), F.col("item_grams")))
     alike = F.col("common") / (F.size("grams") + F.size("item_grams") - F.col("common"))
@@ -167,8 +178,9 @@ def _matches(read: DataFrame, items: DataFrame, size: int) -> DataFrame:
                           (-F.col("hamming")).alias("h")))
     return (
         shared.withColumn("similarity", alike).filter(F.col("similarity") >= THRESHOLD)
-        .groupBy("key", "item_id").agg(best.alias("b"), F.first("id").alias("id"))
-        .select("id", "item_id", F.col("b.similarity").alias("similarity"),
+        .groupBy("key", "item").agg(best.alias("b"), F.first("id").alias("id"),
+                                    F.first("item_id").alias("item_id"))
+        .select("key", "id", "item_id", F.col("b.similarity").alias("similarity"),
                 (-F.col("b.h")).cast("int").alias("hamming"),
                 (-F.col("b.s")).cast("int").alias("first_word"))
     )
@@ -176,7 +188,8 @@ def _matches(read: DataFrame, items: DataFrame, size: int) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
-    """The documents without a match; all columns stay."""
-    hits = contaminated(docs, benchmark, id_col, text_col)
-    bad = lineage_cut(hits.select(F.col("id").alias("_bad")).distinct())
-    return docs.join(bad, quoted(id_col) == F.col("_bad"), "left_anti")
+    """The documents without a match, told apart by id and text; all columns stay."""
+    hits = _found(docs, benchmark, id_col, text_col, "item_id")
+    bad = lineage_cut(hits.select(F.col("key").alias("_bad_key"), F.col("id").alias("_bad")).distinct())
+    same = (_key(id_col, text_col) == F.col("_bad_key")) & quoted(id_col).eqNullSafe(F.col("_bad"))
+    return docs.join(bad, same, "left_anti")
