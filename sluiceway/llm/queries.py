@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm import decontaminate, exact_dedup, html_text, mixing, ngram_join, ppm, sharding, suffix_dedup, toxicity, warc
+from sluiceway.llm import (
+    decontaminate,
+    exact_dedup,
+    fill_middle,
+    html_text,
+    importance,
+    licenses,
+    mixing,
+    ngram_join,
+    ppm,
+    sharding,
+    suffix_dedup,
+    toxicity,
+    warc,
+)
 from sluiceway.sources import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +207,118 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn(
         "toxic", F.col("p_toxic") >= toxicity.REJECT_FROM
     )
+
+
+WORDS_SQL = """[x for x in string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') if x <> '']"""
+
+
+@query(f"""
+with words as (select doc_id, unnest({WORDS_SQL}) as w from documents),
+wanted as (select unnest({WORDS_SQL}) as w from benchmark),
+coded as (
+  select w, (xor(list_reduce(flatten([
+      [('0x' || hex(encode(w))[2 * i + 1 : 2 * i + 2])::bigint, 0, 0, 0, 0, 0, 0, 0]
+      for i in range(octet_length(encode(w)))]),
+    lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295::bigint),
+    4294967295) % 10000) as bucket
+  from (select w from words union select w from wanted)
+), have as (select bucket, count(*) as s from words join coded using (w) group by bucket),
+want as (select bucket, count(*) as t from wanted join coded using (w) group by bucket),
+total as (select (select count(*) from words) as all_s, (select count(*) from wanted) as all_t),
+gains as (
+  select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * (all_s + 10000)::double
+                                 / ((s + 1)::double * (all_t + 10000)::double))) as gain
+  from have left join want using (bucket), total
+), weighed as (
+  select doc_id, count(gain) as n_features, coalesce(floor(sum(gain) / count(gain)), 0)::bigint as weight
+  from documents left join (select doc_id, gain from words join coded using (w)
+                            join gains using (bucket)) using (doc_id) group by doc_id
+), scored as (
+  select *, weight + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[1:8])::bigint + 0.5::double)
+                                         / 4294967296::double)))::bigint as score
+  from weighed
+), placed as (
+  select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id) as place,
+         count(*) over (partition by n_features >= 20) as n
+  from scored
+)
+select doc_id, n_features, weight, score,
+       case when n_features >= 20 and place <= 10 * n // 100 then place end as rank
+from placed
+""")
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "n_features", "weight", "score",
+                      F.col("rank").cast("long").alias("rank"))
+
+
+def _license_rows() -> str:
+    """The templates as SQL literals: number, label, words, needed words, whether a phrase."""
+    return ", ".join(
+        f"({t.number}, '{t.label}', {list(t.words)}, {t.need}, {str(t.phrase).lower()})"
+        for t in licenses.templates())
+
+
+@query(f"""
+with docs as (select doc_id, {WORDS_SQL} as w from documents),
+templates(template, label, tw, need, phrase) as (values {_license_rows()}),
+placed as (select doc_id, unnest(w) as word, unnest(range(len(w))) as pos, w from docs),
+places as (
+  select doc_id, label, pos from placed, templates
+  where phrase and word = tw[1] and w[pos + 1 : pos + len(tw)] = tw
+), base as (
+  select doc_id, count(*) as n_base, min(pos) as first_word, max(pos) as last_word,
+         list(distinct label) as base_set
+  from places group by doc_id
+), hits as (
+  select distinct doc_id, template, label, need, len(tw) as size, len(list_distinct(tw)) as d, word, pos
+  from placed join (select *, unnest(tw) as word from templates where not phrase) using (word)
+), blocks as (
+  select a.doc_id, a.label, a.d, count(distinct b.word) as n
+  from hits a join hits b on a.doc_id = b.doc_id and a.template = b.template
+    and b.pos >= a.pos and b.pos < a.pos + a.size
+  group by a.doc_id, a.template, a.label, a.pos, a.d, a.need having count(distinct b.word) >= a.need
+), more as (
+  select doc_id, list(distinct label) as more_set, max(n / d) as share from blocks group by doc_id
+)
+select docs.doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+       array_to_string(list_sort(coalesce(base_set, [])), ',') as base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base_set, []),
+                                                           coalesce(more_set, [])))), ',') as labels,
+       case when n_base > 0 then 1.0::double else coalesce(share, 0.0::double) end as score
+from docs left join base using (doc_id) left join more using (doc_id)
+""")
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("""
+with drawn as (
+  select doc_id, coalesce(text, '') as x, length(coalesce(text, '')) as n, sha256('1:' || doc_id) as h
+  from documents
+), cuts as (
+  select *, ('0x' || h[1:8])::bigint % (n + 1) as a, ('0x' || h[9:16])::bigint % (n + 1) as b,
+         case when n = 0 or contains(x, '<P>') or contains(x, '<S>') or contains(x, '<M>')
+                   or ('0x' || h[17:24])::bigint % 100 >= 90 then 'plain'
+              when ('0x' || h[25:32])::bigint % 100 < 20 then 'spm' else 'psm' end as form
+  from drawn
+), parts as (
+  select *, substring(x, 1, least(a, b)) as p, substring(x, least(a, b) + 1, abs(a - b)) as m,
+         substring(x, greatest(a, b) + 1, n - greatest(a, b)) as s
+  from cuts
+)
+select doc_id, n, form, case when form <> 'plain' then length(p) end as prefix_chars,
+       case when form <> 'plain' then length(m) end as middle_chars,
+       sha256(case form when 'plain' then x when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+                        else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+       sha256(x) as restored_sha256
+from parts
+""")
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = fill_middle.fill_middle(table(spark, sf_dir, "documents"))
+    return fill_middle.restore(samples).select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"),
+    )
