@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +11,12 @@ from sluiceway.catalog.registry import query, r6, table
 from sluiceway.catalog.rows import parquet_flows
 from sluiceway.operators import clean
 from sluiceway.plans import prepare_connections, prepare_csv_flows, prepare_flows
-from sluiceway.specs import CONNECTION_COLUMNS, FLOW_COLUMNS
+from sluiceway.specs import (
+    CONNECTION_COLUMNS,
+    CONNECTION_NUMERIC,
+    FLOW_COLUMNS,
+    FLOW_SAMPLE_FRACTIONS,
+)
 
 
 def _connection_text(spark, sf_dir) -> DataFrame:
@@ -76,8 +82,50 @@ def prepare_connections_job(spark, sf_dir):
     return prepare_connections(spark, path, path, out)["distribution"]
 
 
-def _write_csv_layouts(spark, sf_dir) -> str:
-    """Order lines in two header layouts: other column order, one column missing, odd names."""
+@query(f"""
+    with {_CONNECTIONS}, d as (
+      select stddev_samp(duration) as duration, stddev_samp(src_bytes) as src_bytes,
+             stddev_samp((label_raw <> 'normal')::int) as tcp from x
+    ), s as (select label_raw, stddev_samp(y) as service
+             from (select b.label_raw, (a.label_raw = b.label_raw)::int as y
+                   from x a, (select distinct label_raw from x) b) group by 1),
+    parts(part) as (values ('train'), ('test'))
+    select part, x.label_raw, count(*) as rows, round(avg(x.duration) / any_value(d.duration), 6) as duration,
+           round(avg(x.src_bytes) / any_value(d.src_bytes), 6) as src_bytes,
+           round(avg((x.label_raw <> 'normal')::int) / any_value(d.tcp), 6) as tcp,
+           case part when 'train' then round(1 / any_value(s.service), 6) else 0 end as service
+    from x join s using (label_raw), d, parts group by part, x.label_raw
+""")
+def prepare_connections_features(spark, sf_dir):
+    """Scaled feature values of both parts; the test file has services that the training file lacks."""
+    text = _connection_text(spark, sf_dir)
+    train, test = (sources.shared_dir(spark, f"connections-{n}") for n in ("train", "test"))
+    text.write.csv(train)
+    text.withColumn("service", F.concat(F.lit("new_"), "service")).write.csv(test)
+    got = prepare_connections(spark, train, test, sources.shared_dir(spark, "connections-out"))
+    width, services = len(CONNECTION_NUMERIC), 5
+    protocols = width + 2 + 2  # two protocols, a slot for unseen values at either stage
+    f = F.col("f")
+
+    def mean(c):
+        return r6(F.avg(c))
+
+    def values(part):
+        rows = got[part].select("label_raw", vector_to_array("features").alias("f"))
+        known = F.aggregate(F.slice(f, protocols + 1, services), F.lit(0.0), lambda a, b: a + b)
+        return rows.groupBy(F.lit(part).alias("part"), "label_raw").agg(
+            F.count("*").alias("rows"), mean(f[0]).alias("duration"),
+            mean(f[CONNECTION_NUMERIC.index("src_bytes")]).alias("src_bytes"),
+            mean(f[width]).alias("tcp"), mean(known).alias("service"))
+
+    return values("train").union(values("test"))
+
+
+def _write_csv_layouts(spark, sf_dir, broken: bool = False) -> str:
+    """Order lines in two header layouts: other column order, one column missing, odd names.
+
+    ``broken`` adds files of the first layout in which every line has a field too many.
+    """
     root = sources.shared_dir(spark, "csv-layouts")
     li = table(spark, sf_dir, "lineitem")
     cols = {
@@ -94,6 +142,11 @@ def _write_csv_layouts(spark, sf_dir) -> str:
         *[c.alias(n) for n, c in reversed(cols.items()) if n != "Rate"])
     for name, df in (("a", a), ("b", b)):
         df.write.csv(f"{root}/{name}", header=True)
+    if broken:
+        more = {"Rate": F.concat(F.lit("1,"), F.col("l_tax").cast("string"))}
+        c = li.filter(F.col("l_quantity") > 45).select(*[more.get(n, c).alias(n) for n, c in cols.items()
+                                                         if n != "Flow Duration"], F.lit("5").alias("Flow Duration"))
+        c.write.csv(f"{root}/c", header=True, quote="\u0000")
     return f"{root}/*/*.csv"
 
 
@@ -117,7 +170,8 @@ def csv_union(spark, sf_dir):
 
 @query(f"""
     with {_CSV_UNION}
-    select (select count(*) from lineitem) as raw_rows, count(*) as dedup_rows,
+    select (select count(*) from lineitem) as lines, 0::bigint as malformed_lines,
+           (select count(*) from lineitem) as raw_rows, count(*) as dedup_rows,
            count("Label") as labelled_rows from x
 """)
 def prepare_csv_flows_job(spark, sf_dir):
@@ -125,6 +179,57 @@ def prepare_csv_flows_job(spark, sf_dir):
     return prepare_csv_flows(spark, _write_csv_layouts(spark, sf_dir), out, impute="mean")["audit"]
 
 
+@query(f"""
+    with {_CSV_UNION}, n as (select count(*) as good, count_if(l_quantity > 45)::bigint as bad from lineitem)
+    select good + bad as lines, bad as malformed_lines, good as raw_rows,
+           (select count(*) from x) as dedup_rows, (select count("Label") from x) as labelled_rows from n
+""")
+def prepare_csv_flows_malformed(spark, sf_dir):
+    """The audit of files with planted broken lines, which are counted and left out."""
+    out = sources.shared_dir(spark, "csv-out")
+    path = _write_csv_layouts(spark, sf_dir, broken=True)
+    return prepare_csv_flows(spark, path, out, impute="mean")["audit"]
+
+
+@query(f"""
+    with {_CSV_UNION}, y as (select * from x where "Label" is not null),
+    d as (select stddev_samp("Flow Duration") as a, stddev_samp("Total Fwd Packets") as b,
+                 avg("Rate") as fill from y),
+    r as (select stddev_samp(coalesce("Rate", fill)) as c from y, d)
+    select "Label", count(*) as rows, round(avg("Flow Duration") / any_value(a), 6) as duration,
+           round(avg("Total Fwd Packets") / any_value(b), 6) as packets,
+           round(avg(coalesce("Rate", fill)) / any_value(c), 6) as rate
+    from y, d, r group by 1
+""")
+def prepare_csv_flows_features(spark, sf_dir):
+    """Imputed and scaled feature values, all statistics from all rows."""
+    out = sources.shared_dir(spark, "csv-out")
+    got = prepare_csv_flows(spark, _write_csv_layouts(spark, sf_dir), out, impute="mean", fit_on="all")
+    names = got["stages"].stages[0].getInputCols()
+    f = vector_to_array("features")
+    picked = {"duration": "Flow Duration", "packets": "Total Fwd Packets", "rate": "Rate"}
+    return got["flows"].groupBy("Label").agg(F.count("*").alias("rows"), *[
+        r6(F.avg(f[names.index(c)])).alias(n) for n, c in picked.items()])
+
+
+@query("""
+    select case when l_linestatus = 'O' then 0 else 1 end::double as label, true as within
+    from lineitem where l_tax <> 0 group by 1
+""")
+def prepare_flows_sampled(spark, sf_dir):
+    """The default class-wise sample: normal rows whole, attacks within five deviations of their share."""
+    raw = sources.write_table(parquet_flows(spark, sf_dir), sources.shared_dir(spark, "raw-flows"))
+    out = sources.shared_dir(spark, "flows-out")
+    sizes = prepare_flows(spark, raw, out, spread=True)["distribution"]
+    label = F.when(F.col("attack") == 0, 0.0).otherwise(1.0).alias("label")
+    whole = spark.read.parquet(raw).filter(~F.isnan("mean")).groupBy(label).agg(F.count("*").alias("all"))
+    share = F.create_map(*[F.lit(x) for p in FLOW_SAMPLE_FRACTIONS.items() for x in p])[F.col("label")]
+    spread = 5 * F.sqrt(F.col("all") * share * (1 - share))
+    n = F.coalesce("rows", F.lit(0))
+    return whole.join(sizes, "label", "left").select(
+        "label", (F.abs(n - F.col("all") * share) <= spread + 1e-6).alias("within"))
+
+
 @query("""
     select case when l_linestatus = 'O' then 0 else 1 end::double as label, count(*) as rows
     from lineitem where l_tax <> 0 group by 1
@@ -134,8 +239,7 @@ def prepare_flows_job(spark, sf_dir):
     raw = sources.write_table(parquet_flows(spark, sf_dir), sources.shared_dir(spark, "raw-flows"))
     out = sources.shared_dir(spark, "flows-out")
     keep_all = {0.0: 1.0, 1.0: 1.0}
-    cores = spark.sparkContext.defaultParallelism
-    return prepare_flows(spark, raw, out, fractions=keep_all, partitions=cores)["distribution"]
+    return prepare_flows(spark, raw, out, fractions=keep_all, spread=True)["distribution"]
 
 
 @query("select case when l_linestatus = 'O' then 0 end as attack, l_quantity as dur from lineitem")
@@ -208,6 +312,20 @@ def write_run(spark, sf_dir):
     return spark.read.parquet(root)
 
 
+@query("""
+    select o_orderkey, o_totalprice * case o_orderstatus when 'F' then 2 else 1 end as total,
+           o_orderstatus as holdout, 'r1' as run_id from orders
+""")
+def rerun_partitions(spark, sf_dir):
+    """A second run of one key replaces its own partition only."""
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_totalprice").alias("total"), F.col("o_orderstatus").alias("holdout"),
+        F.lit("r1").alias("run_id"))
+    path = sources.write_partitions(o, sources.shared_dir(spark, "reruns"), ["run_id", "holdout"])
+    again = o.filter("holdout = 'F'").withColumn("total", F.col("total") * 2)
+    return spark.read.parquet(sources.write_partitions(again, path, ["run_id", "holdout"]))
+
+
 @query("select event_type, count(*) as rows, true as stamped from events group by 1")
 def stamp(spark, sf_dir):
     counts = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("rows"))

@@ -112,6 +112,49 @@ def skew_exact(spark, sf_dir):
     return out.select("column", r6("skew").alias("skew"))
 
 
+_LOGGED = ", ".join(
+    f"case when (select abs(avg({c}) - quantile_disc({c}, 0.5)) / stddev_pop({c}) > 0.01 from lineitem) "
+    f"then round(ln(1 + greatest({c}, 0)), 6) else round({c}, 6) end as {c}" for c in NUMERIC)
+
+
+@query(f"select l_orderkey, {_LOGGED} from lineitem")
+def log_skewed_exact(spark, sf_dir):
+    """Exact medians decide which columns are logged."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", *NUMERIC)
+    out, _ = stats.log_skewed(li, 0.01, exact=True)
+    return out.withColumns({c: r6(c) for c in NUMERIC})
+
+
+@query(_per_column("count({c}) as rows, true as close"))
+def median_approximate_error(spark, sf_dir):
+    """The rank of an approximate median is at most rows / accuracy away from the middle."""
+    return _rank_errors(table(spark, sf_dir, "lineitem").select(*NUMERIC), accuracy=1000)
+
+
+@query("""
+    select 'value' as "column", count(value) as rows, true as close from events where event_type <> 'error'
+""")
+def impute_median_error(spark, sf_dir):
+    """The fill value of an approximate median imputation lies close to the middle rank."""
+    holes = _holes(spark, sf_dir).select("value")
+    return _rank_errors(holes, accuracy=500, fills=stats.fit_impute(holes, "median", accuracy=500))
+
+
+def _rank_errors(df, accuracy, fills=None):
+    """Whether a value lies within rows / accuracy (and its own ties) of the middle, per column."""
+    if fills is None:
+        rows = stats.column_stats(df, df.columns, stats.median_stats(accuracy)).collect()
+        fills = {r["column"]: r["median"] for r in rows}
+    found = df.agg(*[x for i, (c, v) in enumerate(fills.items()) for x in (
+        F.count(c).alias(f"n{i}"), F.count_if(F.col(c) < v).alias(f"lt{i}"),
+        F.count_if(F.col(c) <= v).alias(f"le{i}"))]).first()
+    out = []
+    for i, c in enumerate(fills):
+        n, slack = found[f"n{i}"], found[f"n{i}"] / accuracy + 1
+        out.append((c, n, found[f"lt{i}"] <= n / 2 + slack and found[f"le{i}"] >= n / 2 - slack))
+    return small_table(df.sparkSession, out, "column string, rows long, close boolean")
+
+
 @query()
 def log_skewed(spark, sf_dir):
     """Approximate medians decide which columns are logged."""

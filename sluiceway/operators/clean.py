@@ -88,9 +88,14 @@ def rename_ci(df: DataFrame, name: str = CSV_LABEL) -> DataFrame:
 
 def filter_range(df: DataFrame, present: list[str], nonnegative: list[str]) -> DataFrame:
     """Rows where all columns are present and the listed ones are also >= 0."""
+    return df.filter(in_range(present, nonnegative)) if present or nonnegative else df
+
+
+def in_range(present: list[str], nonnegative: list[str]) -> Column:
+    """The condition of ``filter_range``."""
     conditions = [as_column(c).isNotNull() for c in [*present, *nonnegative]]
     conditions += [as_column(c) >= 0 for c in nonnegative]
-    return df.filter(reduce(and_, conditions)) if conditions else df
+    return reduce(and_, conditions)
 
 
 def filter_finite(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -126,13 +131,18 @@ def clean_connections(df: DataFrame) -> DataFrame:
 
     Adds ``label_raw``, ``label_binary`` and ``attack_category``.
     """
+    return mark_connections(df, "__kept").filter("__kept").drop("__kept")
+
+
+def mark_connections(df: DataFrame, name: str) -> DataFrame:
+    """``clean_connections`` with all rows; those out of range have False in the column ``name``."""
     labelled = df.withColumns({"label_raw": clean_label("label")}).withColumns({
         "label_binary": binary_label("label_raw"),
         "attack_category": category_map("label_raw", ATTACK_GROUPS),
     })
     typed = cast_columns(labelled, CONNECTION_NUMERIC)
-    kept = filter_range(typed, ["duration"], ["src_bytes", "dst_bytes"])
-    return kept.na.fill(0.0, CONNECTION_NUMERIC)
+    marked = typed.withColumn(name, F.coalesce(in_range(["duration"], ["src_bytes", "dst_bytes"]), F.lit(False)))
+    return marked.na.fill(0.0, CONNECTION_NUMERIC)
 
 
 def clean_flow_stages(df: DataFrame, label: str = CSV_LABEL) -> dict[str, DataFrame]:

@@ -134,14 +134,14 @@ def metrics_by(
 
     Without keys an empty input gives one row of zeros. ``total_over`` adds a row per
     combination of the other keys in which that key is ``total_name``; it is summed from
-    the cells, not from the rows again.
+    the cells, each counted for its own key and for the total, so the rows are read once.
     """
     cells = confusion_cells(df, pred, label, BINARY, keys)
     if total_over is not None:
-        rest = [k for k in keys if k != total_over]
         counters = [c for c in cells.columns if c not in keys]
-        total = cells.groupBy(*rest).agg(*[F.sum(c).alias(c) for c in counters])
-        cells = cells.unionByName(total.withColumn(total_over, F.lit(total_name)))
+        both = F.explode(F.array(F.col(total_over).cast("string"), F.lit(total_name)))
+        cells = cells.withColumn(total_over, both).groupBy(*keys).agg(
+            *[F.sum(c).alias(c) for c in counters])
     return _binary_row(cells, keys)
 
 

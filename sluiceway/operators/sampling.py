@@ -212,6 +212,11 @@ def hash_folds(
     return df.withColumn(name, fold.cast("int"))
 
 
+def held_out(key: str, group: object) -> Column:
+    """Whether a row belongs to the group; rows without a group belong to none."""
+    return as_column(key).eqNullSafe(F.lit(group))
+
+
 def leave_one_group_out(
     df: DataFrame, key: str, groups: list
 ) -> Iterator[tuple[object, DataFrame, DataFrame]]:
@@ -220,8 +225,7 @@ def leave_one_group_out(
     Rows without a group are training rows of every group.
     """
     for g in groups:
-        own = as_column(key).eqNullSafe(F.lit(g))
-        yield g, df.filter(~own), df.filter(own)
+        yield g, df.filter(~held_out(key, g)), df.filter(held_out(key, g))
 
 
 def held_out_totals(df: DataFrame, key: str, sums: dict[str, Column], again: dict[str, Column]
@@ -241,11 +245,10 @@ def held_out_totals(df: DataFrame, key: str, sums: dict[str, Column], again: dic
 
 
 def add_row_id(
-    df: DataFrame, name: str = "row_id", stable: bool = True, partitions: int | None = None
+    df: DataFrame, name: str = "row_id", stable: bool = True, spread: bool = False
 ) -> DataFrame:
     """Unique row number. ``stable`` writes the result to the shared folder, so that a
     retried task cannot number rows anew; prefer a natural key where there is one.
-    ``partitions`` spreads the rows before they are numbered."""
-    spread = df if partitions is None else df.repartition(partitions)
-    out = spread.withColumn(name, F.monotonically_increasing_id())
-    return lineage_cut(out) if stable else out
+    ``spread`` evens out the numbered rows by size."""
+    out = df.withColumn(name, F.monotonically_increasing_id())
+    return lineage_cut(out, spread=spread) if stable else out

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.operators.clean import double_columns
+from sluiceway.operators.selection import Ranking
 from sluiceway.specs import (
     CONNECTION_CATEGORICAL,
     CONNECTION_NUMERIC,
@@ -121,8 +122,8 @@ def boosted(preset: str, label: str = "label", features: str = "features",
 
 def top_features(k: int, features: str = "features", label: str = "label",
                  out: str = "sel_features", continuous: bool = True) -> UnivariateFeatureSelector:
-    """The k best features by ANOVA F-test or, if not ``continuous``, by chi-squared test
-    (categorical values, at most 10,000 distinct per feature)."""
+    """The k best features by ANOVA F-test or, if not ``continuous``, by chi-squared test over the
+    values as they are (at most 10,000 distinct per feature; ``selection`` has one for any values)."""
     selector = UnivariateFeatureSelector(
         featuresCol=features, labelCol=label, outputCol=out, selectionMode="numTopFeatures"
     )
@@ -131,6 +132,16 @@ def top_features(k: int, features: str = "features", label: str = "label",
     return selector.setSelectionThreshold(k)
 
 
+def ranked_logit(ranking: Ranking, k: int, reg: float, label: str = "label",
+                 weight: str | None = "weight", **override) -> Pipeline:
+    """``polynomial_logit`` over features that have been ranked before."""
+    return Pipeline(stages=[
+        ranking.slicer(k),
+        PolynomialExpansion(degree=2, inputCol="sel_features", outputCol="poly_features"),
+        logit("grid", label, "poly_features", weight, regParam=reg, **override),
+    ])
+
+
 def polynomial_logit(k: int, reg: float, label: str = "label", weight: str | None = "weight",
                      continuous: bool = True, **override) -> Pipeline:
     """k best features, all their degree-2 terms, L2 logistic regression.

@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.functions.parsing import as_column, nonfinite_to_null
@@ -47,8 +47,10 @@ def top_classes(df: DataFrame, keys: list[str], n: int | None = None) -> DataFra
 def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
     """(position, stage, rows) of every named stage, for an audit table.
 
-    Each stage is counted by its own scan; in a job use ``observed_count`` instead, which
-    counts in passing while the job does its work.
+    Each stage is counted by its own scan. The jobs take their counts from a table that they write
+    anyway, in which left-out rows are marked or counted. (Spark's observations would count in
+    passing, too, but a session that has used one can no longer serialise models with a training
+    summary, in Spark 4.1.)
     """
     out = None
     for i, (name, df) in enumerate(stages.items()):
@@ -59,12 +61,6 @@ def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def observed_count(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
-    """The table and its row count, filled in by the first action that reads the whole of it."""
-    seen = Observation(name)
-    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
-
-
 # -- column statistics ------------------------------------------------------
 
 def mean_stats(c: Column) -> dict[str, Column]:

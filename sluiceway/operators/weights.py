@@ -59,6 +59,23 @@ def pos_weight(df: DataFrame, label: str) -> DataFrame:
     return _label_counts(df, label).select("neg", "pos", ratio.alias("pos_weight"))
 
 
+def pos_weights_without(df: DataFrame, label: str, key: str, groups: list[str]) -> dict[str, float]:
+    """``neg / pos`` over all rows but a group's own, for every group, from one aggregate.
+
+    1.0 without positives. Rows without a group count for all; a group without rows takes none away.
+    """
+    per = df.groupBy(as_column(key).alias("__group")).agg(
+        F.count_if(as_column(label) == 0.0).alias("neg"),
+        F.count_if(as_column(label) == 1.0).alias("pos"))
+    sums = []
+    for i, group in enumerate(groups):
+        other = ~F.col("__group").eqNullSafe(F.lit(group))
+        sums += [F.sum(F.when(other, F.col(c))).alias(f"{c}{i}") for c in ("neg", "pos")]
+    row = per.agg(*sums).first()
+    return {g: (row[f"neg{i}"] or 0) / row[f"pos{i}"] if row[f"pos{i}"] else 1.0
+            for i, g in enumerate(groups)}
+
+
 def with_pos_weight(
     df: DataFrame, label: str, counts_from: DataFrame | None = None, name: str = "weight"
 ) -> DataFrame:

@@ -27,7 +27,7 @@ from sluiceway.operators.stats import (
 from sluiceway.sources import lineage_cut, read_csv_union, save_model, write_table
 from sluiceway.specs import CSV_LABEL, CSV_TARGET, THREE_WAY, Split
 
-_COPIES, _SPLIT = "__copies", "split"
+_COPIES, _BAD, _SPLIT = "__copies", "__malformed", "split"
 
 
 def prepare_csv_flows(
@@ -42,7 +42,7 @@ def prepare_csv_flows(
     split: Split = THREE_WAY,
     fit_on: str = "train",
     files: int | None = None,
-    partitions: int | None = None,
+    spread: bool = False,
     save_stages: bool = True,
 ) -> dict:
     """Union, clean, derive, impute, prune, assemble and scale; one table partitioned by split.
@@ -53,25 +53,30 @@ def prepare_csv_flows(
 
     The cleaned rows are written once to the shared folder: the de-duplication shuffle is
     not repeated by the passes that follow, and a lost executor costs no rerun of it. The
-    row counts of the audit come from that table, raw rows as the sum of copies.
+    counts of the audit come from that table: lines and raw rows as sums of copies, and lines with a
+    wrong number of fields as the copies of one marked row, so that the files are parsed once and a
+    repeated task counts nothing twice.
     """
     if fit_on not in ("train", "all"):
         raise ValueError("fit_on must be 'train' or 'all'")
-    raw = rename_ci(sample_fraction(read_csv_union(spark, glob), fraction))
+    lines = sample_fraction(read_csv_union(spark, glob, malformed=_BAD), fraction)
+    raw = rename_ci(lines.withColumn(_BAD, F.col(_BAD).isNotNull()))
     unique = drop_columns(dedup_counted(raw, _COPIES))
-    numeric = null_nonfinite(
-        cast_all(unique, (CSV_LABEL, _COPIES)),
-        [c for c in unique.columns if c not in (CSV_LABEL, _COPIES)],
-    )
-    tagged = split_by_row(numeric, split, _SPLIT, skip=(_COPIES,))
-    cleaned = lineage_cut(tagged, partitions=partitions)
+    own = (CSV_LABEL, _COPIES, _BAD)
+    numeric = null_nonfinite(cast_all(unique, own), [c for c in unique.columns if c not in own])
+    tagged = split_by_row(numeric, split, _SPLIT, skip=(_COPIES, _BAD))
+    cleaned = lineage_cut(tagged, spread=spread)
+    good = ~F.col(_BAD)
     audit = cleaned.agg(
-        F.sum(_COPIES).alias("raw_rows"), F.count("*").alias("dedup_rows"),
-        F.count(as_column(CSV_LABEL)).alias("labelled_rows"),
+        F.coalesce(F.sum(_COPIES), F.lit(0)).alias("lines"),
+        F.coalesce(F.sum(F.when(F.col(_BAD), F.col(_COPIES))), F.lit(0)).alias("malformed_lines"),
+        F.coalesce(F.sum(F.when(good, F.col(_COPIES))), F.lit(0)).alias("raw_rows"),
+        F.count_if(good).alias("dedup_rows"),
+        F.count_if(good & as_column(CSV_LABEL).isNotNull()).alias("labelled_rows"),
     )
 
     # The part travels as text, so it is never a feature.
-    df = csv_flow_features(filter_labelled(cleaned.drop(_COPIES)))
+    df = csv_flow_features(filter_labelled(cleaned.filter(good).drop(_COPIES, _BAD)))
 
     def fit_rows(d: DataFrame) -> DataFrame:
         return d if fit_on == "all" else d.filter(F.col(_SPLIT) == next(iter(split.parts)))

@@ -20,11 +20,12 @@ def train_logit_grid(
     split: Split = TRAIN_VAL,
     row_key: str | None = None,
     grid: list[tuple[int, float]] | None = None,
-    **build_args,
+    **search_args,
 ) -> dict:
     """Split off validation rows, weigh, search the grid, score the untouched test table.
 
-    Class weights come from the training part only.
+    Class weights come from the training part only. ``search_args`` go to the search
+    (``select_by``, ``bins``, ``parallel``) and on to the estimator.
     """
     spark = train.sparkSession
     key = row_key or "row_id"
@@ -32,7 +33,7 @@ def train_logit_grid(
     fit_part, val_part = (parts[name] for name in list(split.parts)[:2])
     with persisted(with_pos_weight(fit_part, "label"), val_part) as (fit_rows, val_rows):
         weight = pos_weight(fit_rows, "label").first()["pos_weight"]
-        found = grid_search_threshold(fit_rows, val_rows, grid, **build_args)
+        found = grid_search_threshold(fit_rows, val_rows, grid, **search_args)
     extra = [c for c in ("attack_category",) if c in test.columns]
     scored = found.model.transform(test).select(
         "label", *extra, "probability", class_probability("probability").alias("lr_score")

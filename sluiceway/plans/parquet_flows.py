@@ -40,7 +40,7 @@ def prepare_flows(
     weighting: str = "balanced",
     finite_check: str = "after",
     files: int | None = None,
-    partitions: int | None = None,
+    spread: bool = False,
 ) -> dict:
     """Sample before all feature work, derive, encode, scale, weigh; one table by split.
 
@@ -54,7 +54,7 @@ def prepare_flows(
         raise ValueError("fit_on must be 'train' or 'all'")
     flows = read_available(spark, path, FLOW_COLUMNS, required=("attack",))
     features = sampled_flow_features(flows, fractions, seed, finite_check)
-    sample = lineage_cut(split_drawn(features, split, _SPLIT), partitions=partitions)
+    sample = lineage_cut(split_drawn(features, split, _SPLIT), spread=spread)
     fit_rows = sample
     if fit_on == "train":
         fit_rows = sample.filter(F.col(_SPLIT) == next(iter(split.parts)))

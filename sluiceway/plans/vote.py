@@ -33,7 +33,7 @@ def train_vote(
     tune_grid: dict[str, list] | None = None,
     weights: dict[str, float] | None = None,
     overrides: dict[str, dict] | None = None,
-    partitions: int | None = None,
+    spread: bool = False,
 ) -> dict:
     """Resample, weigh, fit three models, vote on the test table, evaluate.
 
@@ -51,7 +51,7 @@ def train_vote(
     drawn = resample_to_target(
         known, _CATEGORY, ratios, _CAPS[preset], row_key=row_key, mode=resample_mode
     )
-    resampled = lineage_cut(drawn, partitions=partitions)
+    resampled = lineage_cut(drawn, spread=spread)
     counted = known if counts_from == "original" else resampled
     index_model = indexer(_CATEGORY, "category_label").fit(resampled)
     names = index_model.labelsArray[0]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import csv
-from concurrent.futures import ThreadPoolExecutor
+import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,41 +39,59 @@ def normalize_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*normalized_names(df.columns))
 
 
-def _list_files(spark: SparkSession, glob: str) -> list[str]:
-    # The binaryFile source lists paths without opening the files when only `path` is selected.
-    rows = spark.read.format("binaryFile").load(glob).select("path").collect()
-    paths = sorted(r.path for r in rows)
-    if not paths:
-        raise ValueError(f"no files match {glob}")
-    return paths
+def _literal_path(uri: str) -> str:
+    """A path for a reader from the URI of a file, its pattern characters escaped."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(uri))
 
 
-def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    line = spark.read.text(path).first()
-    return tuple(next(csv.reader([line["value"].lstrip("\ufeff")]), ())) if line else ()
+def csv_layouts(spark: SparkSession, glob: str) -> DataFrame:
+    """(header, paths): the header lines that the files of a glob begin with, and their files.
+
+    One grouped scan of the lines for any number of files; per file a task keeps the line that
+    comes first in the file's first block. Empty files have no header and are left out.
+    """
+    lines = spark.read.text(glob).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"),
+    )
+    first = lines.filter("start = 0").groupBy("path").agg(F.min_by("line", "place").alias("header"))
+    return first.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
 
 
-def read_csv_union(spark: SparkSession, glob: str) -> DataFrame:
+def read_csv_union(spark: SparkSession, glob: str, malformed: str | None = None) -> DataFrame:
     """All headed CSV files of a glob as text, united by name; missing columns are null.
 
-    Only the header line of each file is looked at up front. Files with the same header
-    share one scan, so the plan grows with the number of layouts, not of files. Rows with a
-    wrong number of fields are dropped; the parser sees whole rows whatever is selected later.
+    Files with the same header share one scan, so jobs and plan grow with the number of layouts,
+    not of files, and the driver gets the paths layout by layout. Rows with a wrong number of fields
+    are dropped; with ``malformed`` they stay, with their line in a column of that name and null in
+    all others, and that column is null for good rows. The parser sees whole rows whatever is
+    selected later.
     """
-    paths = _list_files(spark, glob)
-    # Reading a header is a tiny Spark job; many at a time keep a long file list short. The line
-    # is taken as text: the CSV reader would rename repeated headers before they are seen here.
-    with ThreadPoolExecutor(16) as pool:
-        headers = list(pool.map(lambda path: _header(spark, path), paths))
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    for path, header in zip(paths, headers, strict=True):
-        layouts.setdefault(header, []).append(path)
-    parts = [
-        spark.read.schema(_text_schema(normalized_names(list(header))))
-        .option("columnPruning", False)
-        .csv(files, header=True, mode="DROPMALFORMED", multiLine=False)
-        for header, files in layouts.items()
-    ]
+    # Ordered by the first path, so that the order of columns does not depend on a shuffle. The header
+    # is taken as text: the CSV reader would rename repeated names before they are seen here.
+    found = sorted(csv_layouts(spark, glob).collect(), key=lambda r: r["paths"][0])
+    if not found:
+        raise ValueError(f"no lines in files that match {glob}")
+    parts = []
+    for row in found:
+        header = next(csv.reader([row["header"].lstrip("\ufeff")]), [])
+        schema = _text_schema(normalized_names(header))
+        reader = spark.read.option("columnPruning", False)
+        files = [_literal_path(path) for path in row["paths"]]
+        if malformed is None:
+            parts.append(reader.schema(schema).csv(files, header=True, mode="DROPMALFORMED"))
+            continue
+        if malformed.lower() in (n.lower() for n in schema.names):
+            raise ValueError(f"the files have a column {malformed}")
+        whole = reader.schema(schema.add(malformed, "string")).csv(
+            files, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=malformed)
+        # Spark refuses plans that read the line column only; this condition holds for every row.
+        some = as_column(schema.names[0])
+        whole = whole.filter(some.isNull() | some.isNotNull())
+        good = as_column(malformed).isNull()
+        parts.append(whole.select(
+            *[F.when(good, as_column(n)).alias(n) for n in schema.names if n != malformed],
+            as_column(malformed)))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluiceway.sources.workspace import balanced
+
 
 def write_table(
     df: DataFrame,
@@ -16,12 +18,18 @@ def write_table(
     files: int | None = None,
     codec: str = "snappy",
     partition_by: list[str] | None = None,
+    even: bool = False,
 ) -> str:
-    """Overwrite a parquet table; ``files`` bounds the number of files of a small result.
+    """Overwrite a parquet table.
 
-    ``coalesce`` also narrows the stage that feeds it, so leave ``files`` unset for big tables.
+    ``files`` is the number of files of a small result, in one extra shuffle of its rows, so that the
+    stage before keeps all its tasks. ``even`` sizes files by the session's advisory partition size
+    instead, whatever the size of the table; rows of one partition value stay together as far as that
+    size allows.
     """
-    out = df if files is None else df.coalesce(files)
+    out = df if files is None else df.repartition(files)
+    if even:
+        out = balanced(df, *(partition_by or []))
     writer = out.write.mode("overwrite").option("compression", codec)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -29,13 +37,24 @@ def write_table(
     return path
 
 
+def write_partitions(df: DataFrame, path: str, keys: list[str], codec: str = "snappy") -> str:
+    """Write into a table partitioned by the keys; only partitions that the rows belong to are
+    replaced, so a rerun of one run leaves the others as they are. Without rows nothing changes."""
+    writer = balanced(df, *keys).write.mode("overwrite").option("compression", codec)
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    return path
+
+
 def run_path(root: str, **keys: str) -> str:
     """``root/k1=v1/k2=v2``: found again as partition columns when the root is read."""
     return "/".join([root.rstrip("/"), *[f"{k}={v}" for k, v in keys.items()]])
 
 
 def write_run(df: DataFrame, root: str, files: int | None = None, **keys: str) -> str:
-    """Write under ``k=v`` directories; the keys are dropped from the files themselves."""
+    """Write under ``k=v`` directories; the keys are dropped from the files themselves.
+
+    Replaces that run only. For runs of several keys at once there is ``write_partitions``.
+    """
     return write_table(df.drop(*keys), run_path(root, **keys), files)
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_open_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("open_scopes", default=())
 
 
 def _checkpoint_root(spark: SparkSession) -> str:
@@ -25,22 +27,57 @@ def _checkpoint_root(spark: SparkSession) -> str:
 
 def shared_dir(spark: SparkSession, name: str = "work") -> str:
     """A new folder name below the shared folder that the session names."""
-    return f"{_checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{_checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for made in _open_scopes.get()[-1:]:
+        made.append(path)
+    return path
 
 
-def lineage_cut(df: DataFrame, how: str = "table", partitions: int | None = None) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Folders that are named within the block are removed at its end, also if it fails.
+
+    Read or write what a plan returns inside the block: its tables are gone afterwards. Scopes nest;
+    a folder belongs to the innermost one. Removal goes through the Hadoop file system of each path.
+    Threads that the block starts see the scope only if they run in a copy of its context.
+    """
+    made: list[str] = []
+    token = _open_scopes.set((*_open_scopes.get(), made))
+    try:
+        yield
+    finally:
+        _open_scopes.reset(token)
+        for path in made:
+            remove_folder(spark, path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> bool:
+    """Delete a folder with all it holds; False if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def balanced(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out into partitions by size: adaptive execution splits those beyond the session's
+    advisory size and joins small ones. With keys, equal ones stay together as far as that size
+    allows."""
+    return df.hint("rebalance", *keys)
+
+
+def lineage_cut(df: DataFrame, how: str = "table", spread: bool = False) -> DataFrame:
     """Compute once, into the shared folder, and go on from there.
 
-    ``partitions`` spreads the rows first: for input in a few large row groups that
-    iterative fits will read many times. Leave it unset for input with many splits.
+    ``spread`` evens out the rows by size first: for input in a few large row groups that
+    iterative fits will read many times. Leave it out for input with many splits. A table that comes
+    to fewer partitions than there are cores is dealt out to all of them when it is read.
 
     The result survives the loss of executors and freezes drawn or numbered values. A
     parquet table lets later passes read only their columns; ``how="checkpoint"`` uses
     Spark's reliable checkpoint instead.
     """
     spark = df.sparkSession
-    if partitions is not None:
-        df = df.repartition(partitions)
+    if spread:
+        df = balanced(df)
     if how == "checkpoint":
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(_checkpoint_root(spark))
@@ -49,7 +86,9 @@ def lineage_cut(df: DataFrame, how: str = "table", partitions: int | None = None
         raise ValueError("how must be 'table' or 'checkpoint'")
     path = shared_dir(spark, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return out.repartition(cores) if spread and out.rdd.getNumPartitions() < cores else out
 
 
 @contextmanager
