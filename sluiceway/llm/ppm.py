@@ -7,9 +7,12 @@ symbol seen gives half a count to what was not seen), where the symbols of the l
 excluded. The model is trained on all training texts and then fixed, and no gram is left out of it; what
 depends on the context alone is summed up along the suffixes in advance.
 
-The probability of a byte depends on its code alone. Tasks hold the values of the most frequent grams;
-all other codes are collected per text, scored once each by joins with the tables of all orders, and
-summed up per text. How many grams tasks hold changes no result.
+The probability of a byte depends on its code alone. Tasks hold the values of the most frequent quarter
+of the grams, up to a bound; all other codes are collected per text, scored once each by joins with the
+tables of all orders, and summed up per text. How many grams tasks hold changes no result, and as it is
+a share of them, what is left to the joins grows with the input.
+
+Texts are worked on in slices, a long one in pieces, so that a task holds arrays of a piece only.
 
 Texts are modelled as their lower-cased words, each followed by a space, the last by the end symbol,
 a byte that UTF-8 never uses. So the score is comparable with the word base, which adds one to the
@@ -20,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,8 @@ from sluiceway.llm.common import quoted, text_of
 from sluiceway.sources import lineage_cut
 
 ORDER = 5
-KNOWN_GRAMS = 1 << 20  # gram values that every task holds; other codes are scored by joins
-KNOWN_WORDS = 1 << 19  # word counts that every task holds; other words are looked up by a join
+KNOWN_SHARE = 4  # every task holds the values of one gram, and the count of one word, in so many
+KNOWN_MOST = 1 << 20  # but not more than so many
 TALLY_SYMBOLS = 1 << 23  # counted together in a task
 TALLY_CODES = 1 << 21  # different codes a task holds before it hands them on
 END = 0xFF
@@ -122,112 +125,6 @@ def _mask(order: int) -> np.uint64:
     return np.uint64((1 << (8 * (order + 1))) - 1)
 
 
-@dataclass(frozen=True)
-class Trie:
-    """Log10 values by gram and by context. ``top``: the gram's probability in its own context;
-    ``lower``: the same after an escape from the context one longer; ``escape``: from a context down
-    to the order a lower value starts at."""
-
-    order: int
-    gram: list[np.ndarray]
-    top: list[np.ndarray]
-    lower: list[np.ndarray]
-    context: list[np.ndarray]
-    escape: list[np.ndarray]
-    down: list[np.ndarray]
-    seen: list[np.ndarray]
-    unseen: float
-
-    @classmethod
-    def of(cls, tables: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
-        """From (codes, counts) per order; a gram is only used if its shorter form is there, too."""
-        order = len(tables) - 1
-        codes, counts = [], []
-        for k, (code, count) in enumerate(tables):
-            at = np.argsort(code)
-            code, count = code[at], count[at].astype(np.float64)
-            if k:
-                short = code & _mask(k - 1)
-                have = np.searchsorted(codes[-1], short)
-                have = np.minimum(have, max(len(codes[-1]) - 1, 0))
-                keep = codes[-1][have] == short if len(codes[-1]) else np.zeros(len(code), bool)
-                code, count = code[keep], count[keep]
-            codes.append(code)
-            counts.append(count)
-        context, total, kinds, top, owner = [], [], [], [], []
-        for k in range(order + 1):
-            ctx = codes[k] >> np.uint64(8)
-            uniq, start = np.unique(ctx, return_index=True)
-            size = np.diff(np.append(start, len(ctx)))
-            context.append(uniq)
-            kinds.append(size.astype(np.float64))
-            total.append(np.add.reduceat(counts[k], start) if len(start) else np.empty(0))
-            owner.append(np.repeat(np.arange(len(uniq)), size))
-            top.append(np.log10((2 * counts[k] - 1) / (2 * total[k])[owner[k]]))
-        down, seen, escape = [np.zeros(len(context[0]))], [np.zeros(len(context[0]))], []
-        for k in range(order):  # from contexts of k + 1 symbols to those of k
-            short = np.searchsorted(codes[k], codes[k + 1] & _mask(k))
-            start = np.flatnonzero(np.diff(owner[k + 1], prepend=-1))
-            taken = np.add.reduceat(counts[k][short], start) if len(start) else np.empty(0)
-            shorter = context[k + 1] & _mask(k - 1) if k else np.zeros(len(start), np.uint64)
-            up = np.searchsorted(context[k], shorter)
-            rest, new = total[k][up] - taken, kinds[k][up] - kinds[k + 1]
-            whole = np.log10(np.maximum(2 * rest, 1))
-            step = np.where(new > 0, np.log10(np.maximum(new, 1)) - whole, 0.0)
-            down.append(down[k][up] + step)
-            seen.append(whole)
-        for k in range(order + 1):
-            escape.append(np.log10(kinds[k] / (2 * total[k])) + down[k])
-        lower = [np.log10(2 * counts[k] - 1) for k in range(order + 1)]
-        unseen = -np.log10(max(256 - len(codes[0]), 1))
-        return cls(order, codes, top, lower, context, escape, down, seen, unseen)
-
-
-class Scorer:
-    """A trie with its hash tables, for scores without Spark."""
-
-    def __init__(self, trie: Trie):
-        self.trie = trie
-        self.grams = [Lookup.of(c) for c in trie.gram]
-        self.contexts = [Lookup.of(c) for c in trie.context]
-
-    def logs(self, code: np.ndarray) -> np.ndarray:
-        """Log10 probability of the last symbol of every code."""
-        trie, order = self.trie, self.trie.order
-        out = np.empty(len(code))
-        row = self.grams[order].find(code)
-        hit = row >= 0
-        out[hit] = trie.top[order][row[hit]]
-        left = np.flatnonzero(~hit)
-        if not len(left):
-            return out
-        code, n = code[left], len(left)
-        value, open_ = np.zeros(n), np.ones(n, bool)  # open: no known context yet
-        longer = np.full(n, -1)  # row of the context one longer than the order tried next
-        pending = np.arange(n)
-        for k in range(order, -1, -1):
-            part = code[pending] & _mask(k)
-            if k < order:
-                found = self.grams[k].find(part)
-                got = found >= 0
-                first = open_[pending]
-                own, free = pending[got & first], pending[got & ~first]
-                value[own] = trie.top[k][found[got & first]]
-                up = longer[free]
-                value[free] += (trie.lower[k][found[got & ~first]] - trie.seen[k + 1][up]
-                                - trie.down[k + 1][up])
-                pending, part = pending[~got], part[~got]
-            ctx = self.contexts[k].find(part >> np.uint64(8))
-            known = ctx >= 0
-            fresh = known & open_[pending]
-            value[pending[fresh]] = trie.escape[k][ctx[fresh]]
-            open_[pending[fresh]] = False
-            longer[pending] = np.where(known, ctx, -1)
-        value[pending] += trie.unseen
-        out[left] = value
-        return out
-
-
 _COUNTS = "kind int, code long, n long"
 
 
@@ -262,19 +159,57 @@ class _Tally:
             self.codes, self.n = self.codes[:0], self.n[:0]
 
 
+def coded(data: np.ndarray, offsets: np.ndarray, order: int) -> Iterator[tuple]:
+    """(first text, end, codes, their texts, word hashes, their texts), slice by slice.
+
+    Text numbers count from the slice's first. A long text comes in pieces that end between words;
+    codes reach back into the piece before.
+    """
+    for lo, hi in textops.slices(offsets):
+        part, own = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        if hi - lo == 1 and len(part) > 2 * textops.SLICE_BYTES:
+            for code, hashes in _coded_pieces(part, order):
+                yield lo, hi, code, np.zeros(len(code), int), hashes, np.zeros(len(hashes), int)
+            continue
+        stream, upto = streams(part, own)
+        hashes, words = textops.word_hashes(part, own)
+        numbers = np.arange(hi - lo)
+        yield (lo, hi, grams(stream, upto, order), np.repeat(numbers, np.diff(upto)), hashes,
+               np.repeat(numbers, np.diff(words)))
+
+
+def _coded_pieces(text: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    end = len(text)
+    while end and textops._SPACE[text[end - 1]]:
+        end -= 1  # the last piece ends with a word, which the end symbol follows
+    tail, fresh = np.empty(0, np.uint8), 0
+    while fresh < end or not end:
+        stop = min(fresh + textops.SLICE_BYTES, end)
+        while stop < end and not textops._SPACE[text[stop - 1]]:
+            stop += 1
+        piece, own = text[fresh:stop], np.array([0, stop - fresh])
+        stream, _ = streams(piece, own)
+        hashes, _ = textops.word_hashes(piece, own)
+        if stop < end:
+            stream = stream[:-1] if not len(hashes) else np.append(stream[:-1], np.uint8(0x20))
+        both = np.concatenate([tail, stream])
+        yield grams(both, np.array([0, len(both)]), order)[len(tail):], hashes
+        if not end:
+            return
+        tail, fresh = both[len(both) - min(order, len(both)) :], stop
+
+
 def _count(order: int):
     """Kind 0: grams of the highest order, kind 1: words, with their counts in a task's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies = _Tally(0), _Tally(1)
         for batch in batches:
-            data, offsets = textops.batch_bytes(batch.column(0))
-            for lo, hi in textops.slices(offsets):
-                part, own = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                tallies[0].add(grams(*streams(part, own), order))
-                tallies[1].add(textops.word_hashes(part, own)[0])
-            for tally in tallies:
-                yield from tally.rows(TALLY_CODES)
+            for _, _, code, _, hashes, _ in coded(*textops.batch_bytes(batch.column(0)), order):
+                tallies[0].add(code)
+                tallies[1].add(hashes)
+                for tally in tallies:
+                    yield from tally.rows(TALLY_CODES)
         for tally in tallies:
             tally.settle()
             yield from tally.rows()
@@ -282,9 +217,10 @@ def _count(order: int):
     return run
 
 
-def _largest(counts: DataFrame, most: int, value: str = "n") -> tuple[np.ndarray, np.ndarray]:
+def _largest(counts: DataFrame, most: int | None, value: str = "n") -> tuple[np.ndarray, np.ndarray]:
     """The codes with the largest counts, about ``most`` at the most; ties at the limit are out."""
     rows = counts.count()
+    most = min(rows // KNOWN_SHARE, KNOWN_MOST) if most is None else most
     if rows > most:
         least = F.percentile_approx("n", 1 - most / rows, 10_000)
         counts = counts.filter(F.col("n") > counts.agg(least).first()[0])
@@ -295,7 +231,6 @@ def _largest(counts: DataFrame, most: int, value: str = "n") -> tuple[np.ndarray
 @dataclass(frozen=True)
 class Model:
     nodes: list[DataFrame]  # per order all contexts: context, total, kinds, symbols, seen, down
-    most: int
     top_grams: tuple[np.ndarray, np.ndarray]  # of the highest order: codes, log10 of probabilities
     symbols: int  # different symbols in all training texts
     words: DataFrame  # code, n: all training words
@@ -313,11 +248,6 @@ class Model:
         """Log10 of the base's denominator."""
         return float(np.log10(self.tokens + self.kinds + 1))
 
-    @cached_property
-    def trie(self) -> Trie:
-        """A smaller model of the ``most`` most frequent grams of every order; ``score`` has all."""
-        return Trie.of([_largest(_grams_of(node), self.most) for node in self.nodes])
-
 
 def _context(code: Column, order: int, k: int) -> Column:
     """The ``k`` symbols before the last one."""
@@ -366,8 +296,10 @@ def _node(level: DataFrame, k: int, shorter: DataFrame | None) -> DataFrame:
 
 def train(texts: DataFrame, text_col: str = "text", order: int = ORDER,
           most: int | None = None) -> Model:
-    """Counts all texts. All grams are in the model; tasks hold the values of about ``most``."""
-    most = KNOWN_GRAMS if most is None else most
+    """Counts all texts. All grams are in the model; tasks hold the values of about ``most`` of them
+    (by default of a quarter, up to 2^20), and the counts of as many words.
+
+    Null texts are empty; repeated rows are counted as often as they occur."""
     read = texts.select(text_of(text_col).alias("text"))
     counted = read.mapInArrow(_count(order), _COUNTS)
     counts = lineage_cut(counted.groupBy("kind", "code").agg(F.sum("n").alias("n")))
@@ -382,13 +314,30 @@ def train(texts: DataFrame, text_col: str = "text", order: int = ORDER,
         nodes.append(_node(level, k, nodes[-1] if nodes else None))
     sums = words.agg(F.count("*").alias("kinds"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     ends = int(read.count())
-    return Model(nodes, most, _largest(_grams_of(nodes[-1]), most, "value"), levels[-1].count(),
-                 words, _largest(words, KNOWN_WORDS), sums.n + ends, sums.kinds + (ends > 0), ends)
+    return Model(nodes, _largest(_grams_of(nodes[-1]), most, "value"), levels[-1].count(),
+                 words, _largest(words, most), sums.n + ends, sums.kinds + (ends > 0), ends)
+
+
+def _by_text(code: np.ndarray, owner: np.ndarray, texts: int) -> tuple[list, list]:
+    """Per text: its different codes, and how often each occurs."""
+    at = np.lexsort((code, owner))
+    code, owner = code[at], owner[at]
+    new = np.ones(len(code), bool)
+    new[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    many = np.diff(np.append(first, len(code)))
+    cuts = np.searchsorted(owner[first], np.arange(texts + 1))
+    code = code[first].view(np.int64)
+    return ([code[cuts[i] : cuts[i + 1]] for i in range(texts)],
+            [many[cuts[i] : cuts[i + 1]] for i in range(texts)])
 
 
 def _score(model: Model):
+    """A row with the sums of every text, and rows with the codes and words that are left to joins:
+    one per text, or per piece of a long text."""
     order, (gram_codes, values) = model.order, model.top_grams
     (codes, counts), has_end = model.top_words, int(model.ends > 0)
+    lists = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Lookup.of(gram_codes)
@@ -398,80 +347,72 @@ def _score(model: Model):
             data, offsets = textops.batch_bytes(batch.column(batch.num_columns - 1))
             n = len(offsets) - 1
             score, base, n_words, n_known = np.zeros(n), np.zeros(n), np.zeros(n, int), np.zeros(n, int)
-            rare: list[np.ndarray] = []
-            other: list[np.ndarray] = []
-            times: list[np.ndarray] = []
-            for lo, hi in textops.slices(offsets):
-                part, own = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
-                stream, upto = streams(part, own)
-                code = grams(stream, upto, order)
+            for lo, hi, code, owner, hashes, word_owner in coded(data, offsets, order):
                 row = held.find(code)
-                owner = np.repeat(np.arange(hi - lo), np.diff(upto))
                 hit = row >= 0
-                score[lo:hi] = np.bincount(owner[hit], values[row[hit]], hi - lo)
-                code, owner = code[~hit], owner[~hit]
-                at = np.lexsort((code, owner))
-                code, owner = code[at], owner[at]
-                new = np.ones(len(code), bool)  # a code once for each text
-                new[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
-                first = np.flatnonzero(new)
-                many = np.diff(np.append(first, len(code)))
-                cuts = np.searchsorted(owner[first], np.arange(hi - lo + 1))
-                code = code[first].view(np.int64)
-                other += [code[cuts[i] : cuts[i + 1]] for i in range(hi - lo)]
-                times += [many[cuts[i] : cuts[i + 1]] for i in range(hi - lo)]
-                hashes, words = textops.word_hashes(part, own)
+                score[lo:hi] += np.bincount(owner[hit], values[row[hit]], hi - lo)
+                other, times = _by_text(code[~hit], owner[~hit], hi - lo)
                 row = known.find(hashes)
-                owner = np.repeat(np.arange(hi - lo), np.diff(words))
                 hit = row >= 0
-                base[lo:hi] = np.bincount(owner[hit], logs[row[hit]], hi - lo)
-                n_known[lo:hi] = np.bincount(owner[hit], minlength=hi - lo)
-                n_words[lo:hi] = np.diff(words)
-                missed, cuts = hashes[~hit].view(np.int64), np.searchsorted(
-                    owner[~hit], np.arange(hi - lo + 1))
-                rare += [missed[cuts[i] : cuts[i + 1]] for i in range(hi - lo)]
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([
-                *batch.columns[:-1], pa.array(n_words + 1, pa.int64()),
-                pa.array(n_known + has_end, pa.int64()), pa.array(base), pa.array(score),
-                pa.array(rare, lists), pa.array(other, lists), pa.array(times, lists),
-            ], [*batch.schema.names[:-1], "n_tokens", "n_known", "base_part", "score_part", "rare",
-                "other", "times"])
+                base[lo:hi] += np.bincount(word_owner[hit], logs[row[hit]], hi - lo)
+                n_known[lo:hi] += np.bincount(word_owner[hit], minlength=hi - lo)
+                n_words[lo:hi] += np.bincount(word_owner, minlength=hi - lo)
+                rare, rare_times = _by_text(hashes[~hit], word_owner[~hit], hi - lo)
+                part = batch.slice(lo, hi - lo)
+                yield _rows(part, lists, rare=rare, rare_times=rare_times, other=other, times=times)
+            yield _rows(batch, lists, n_tokens=n_words + 1, n_known=n_known + has_end, base_part=base,
+                        score_part=score)
 
     return run
 
 
+_SUMS = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_part": pa.float64(),
+         "score_part": pa.float64()}
+_LISTS = ("rare", "rare_times", "other", "times")
+
+
+def _rows(batch: pa.RecordBatch, lists: pa.DataType, **made) -> pa.RecordBatch:
+    kinds = _SUMS | dict.fromkeys(_LISTS, lists)
+    return pa.RecordBatch.from_arrays(
+        [*batch.columns[:-1],
+         *[pa.array(made[c], t) if c in made else pa.nulls(batch.num_rows, t) for c, t in kinds.items()]],
+        [*batch.schema.names[:-1], *kinds])
+
+
 def _logs(codes: DataFrame, model: Model) -> DataFrame:
     """code, value: log10 of the probability of every code's last symbol, from all orders' tables.
 
-    ``_open``: no context was known yet. ``_leave``: what the next longer context, if it is known, takes off
-    a count in this one.
+    Codes that an order finishes are taken out before the next. ``_open``: no context was known yet.
+    ``_leave``: what the next longer context, if it is known, takes off a count in this one.
     """
     symbol = F.col("code").bitwiseAND(F.lit(255))
-    out = codes.select("code", F.lit(0.0).alias("value"), F.lit(False).alias("_done"),
-                       F.lit(True).alias("_open"), F.lit(0.0).alias("_leave"))
+    out = codes.select("code", F.lit(0.0).alias("value"), F.lit(True).alias("_open"),
+                       F.lit(0.0).alias("_leave"))
+    finished = []
     for k in range(model.order, -1, -1):
         code = F.col("code")
         node = model.nodes[k].select("context", "total", "kinds", "symbols",
                                      F.col("seen").alias("_seen"), F.col("down").alias("_down"))
         both = _joined(out, node, k, _context(code, model.order, k), "left")
         both = both.withColumn("_n", F.col("symbols")[symbol])
-        done, open_, n, total = (F.col(c) for c in ("_done", "_open", "_n", "total"))
+        open_, n, total = (F.col(c) for c in ("_open", "_n", "total"))
         value, known = F.col("value"), total.isNotNull()
         own = F.log10((2 * n - 1) / (2 * total))
         after = value + F.log10(2 * n - 1) - F.col("_leave")
-        out = both.select(
+        tried = lineage_cut(both.select(
             "code",
-            F.when(done, value).when(n.isNotNull(), F.when(open_, own).otherwise(after))
+            F.when(n.isNotNull(), F.when(open_, own).otherwise(after))
             .when(open_ & known, F.log10(F.col("kinds") / (2 * total)) + F.col("_down"))
             .otherwise(value).alias("value"),
-            (done | n.isNotNull()).alias("_done"),
+            n.isNotNull().alias("_done"),
             (open_ & ~known).alias("_open"),
             F.when(known, F.col("_seen") + F.col("_down")).otherwise(F.col("_leave")).alias("_leave"),
-        )
+        ))
+        finished.append(tried.filter("_done").select("code", "value"))
+        out = tried.filter("not _done").drop("_done")
     unseen = -float(np.log10(max(256 - model.symbols, 1)))
-    return out.select("code", F.when(F.col("_done"), F.col("value"))
-                      .otherwise(F.col("value") + unseen).alias("value"))
+    finished.append(out.select("code", (F.col("value") + unseen).alias("value")))
+    return reduce(DataFrame.union, finished)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
@@ -481,35 +422,42 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
     A null text is an empty one: its end token alone is scored. Without training texts every symbol
     is equally likely. Words and codes outside of the tables that every task holds are exact, too: they
     are joined with the tables of all words and all contexts, and come back as one sum per document.
+    Repeated rows are scored one by one. Kept columns may have any name but those of the results.
     """
     names = [c for c in keep if c in docs.columns]
-    read = docs.select(*[quoted(c) for c in names], text_of(text_col).alias("_scored_text"))
+    clash = {"n_tokens", "n_known", "base_score", "score"} & set(names)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} would be there twice")
+    read = docs.select(F.monotonically_increasing_id().alias("row"),
+                       F.struct(*[quoted(c) for c in names]).alias("kept") if names
+                       else F.lit(None).cast("string").alias("kept"),
+                       text_of(text_col).alias("text"))
     schema = StructType(read.schema.fields[:-1]).add("n_tokens", "long").add("n_known", "long").add(
         "base_part", "double").add("score_part", "double")
-    for name in ("rare", "other", "times"):
+    for name in _LISTS:
         schema = schema.add(name, ArrayType(LongType()))
-    rows = lineage_cut(
-        read.mapInArrow(_score(model), schema).withColumn("_row", F.monotonically_increasing_id())
-    )
+    made = lineage_cut(read.mapInArrow(_score(model), schema))  # freezes the row numbers
+    rows = made.filter(F.col("n_tokens").isNotNull())
     zero = F.lit(0.0)
-    rare = (
-        rows.select("_row", F.explode("rare").alias("code")).join(model.words, "code")
-        .select("_row", F.lit(1).alias("_more"), F.log10(F.col("n") + 1).alias("_base"),
-                zero.alias("_score"))
-    )
-    other = rows.select("_row", F.explode(F.arrays_zip("other", "times")).alias("e")).select(
-        "_row", F.col("e.other").alias("code"), F.col("e.times").alias("times"))
+
+    def listed(codes: str, times: str) -> DataFrame:
+        return made.select("row", F.explode(F.arrays_zip(codes, times)).alias("e")).select(
+            "row", F.col(f"e.{codes}").alias("code"), F.col(f"e.{times}").alias("times"))
+
+    rare = listed("rare", "rare_times").join(model.words, "code").select(
+        "row", F.col("times").alias("more"), (F.col("times") * F.log10(F.col("n") + 1)).alias("base"),
+        zero.alias("score"))
+    other = listed("other", "times")
     other = other.join(_logs(other.select("code").distinct(), model), "code").select(
-        "_row", F.lit(0).alias("_more"), zero.alias("_base"),
-        (F.col("times") * F.col("value")).alias("_score"))
-    sums = rare.union(other).groupBy("_row").agg(
-        *[F.sum(c).alias(c) for c in ("_more", "_base", "_score")])
-    base = (F.col("base_part") + F.coalesce("_base", zero) + float(np.log10(model.ends + 1.0))
+        "row", F.lit(0).cast("long").alias("more"), zero.alias("base"),
+        (F.col("times") * F.col("value")).alias("score"))
+    sums = rare.union(other).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more", "base", "score")])
+    base = (F.col("base_part") + F.coalesce("base", zero) + float(np.log10(model.ends + 1.0))
             - F.col("n_tokens") * model.unit)
-    return rows.join(sums, "_row", "left").select(
-        *[quoted(c) for c in names], "n_tokens",
-        (F.col("n_known") + F.coalesce("_more", F.lit(0))).alias("n_known"),
-        base.alias("base_score"), (F.col("score_part") + F.coalesce("_score", zero)).alias("score"),
+    return rows.join(sums, "row", "left").select(
+        *[F.col("kept").getField(c).alias(c) for c in names], "n_tokens",
+        (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        base.alias("base_score"), (F.col("score_part") + F.coalesce("score", zero)).alias("score"),
     )
 
 
