@@ -136,6 +136,8 @@ class _Tally:
         self.codes, self.n = np.empty(0, np.uint64), np.empty(0, np.int64)
 
     def add(self, codes: np.ndarray) -> None:
+        if not len(codes):
+            return
         self.held.append(codes)
         self.size += len(codes)
         if self.size > TALLY_SYMBOLS:
