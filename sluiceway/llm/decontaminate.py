@@ -1,15 +1,19 @@
 """Benchmark decontamination with DataFrame expressions only.
 
-Every benchmark item and every item-sized window of a text that shares an aligned run of shingles
-with it gets a SimHash of its five-word shingles. Fingerprints are cut into ``RADIUS + 1`` blocks, so
-that two within the radius agree in at least one block; windows meet the items of their own size by
-equal blocks, and candidates within the radius are verified by their exact weighted Jaccard
-similarity (a shingle weighs as often as it occurs).
+A window of a text is a run of as many five-word shingles as a benchmark item has. Its similarity with the
+item is weighted Jaccard: a shingle weighs as often as it occurs. One of similarity 0.8 has 8/9 of its
+shingles in common with the item, wherever they stand, so a sliding count over the places where a text has
+a shingle of the item leaves the windows that can reach it. Sliding a window on to the next such place
+loses nothing, so only windows that start at one, and the last one of a text, have to be looked at.
+
+These windows and the items get a SimHash of their shingles, cut into ``RADIUS + 1`` blocks, so that two
+fingerprints within the radius agree in at least one block. Windows meet the items whose shingles they
+have by equal blocks, and those within the radius are verified by their exact similarity.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluiceway.llm.common import quoted, text_of
@@ -69,27 +73,21 @@ def blocks(fingerprint: Column) -> Column:
     ])
 
 
-def shared_weight(a: Column, b: Column) -> Column:
-    """Number of elements two arrays have in common, repeats counted."""
-    def times(x: Column, v: Column) -> Column:
-        return F.size(F.filter(x, lambda y: y == v))
+def marked(hashes: Column) -> Column:
+    """The hashes in order, each made different from its earlier copies: what two such arrays have in
+    common as sets, the plain ones have in common with repeats counted."""
+    ordered = F.array_sort(hashes)
+    return F.transform(ordered, lambda x, i: F.xxhash64(x, i - F.array_position(ordered, x)))
 
-    return F.aggregate(F.array_intersect(a, b), F.lit(0),
-                       lambda n, v: n + F.least(times(a, v), times(b, v)))
 
-
-def least_run(size: Column) -> Column:
-    """Fewest aligned shingles of the longest part of a window of similarity 0.8.
-
-    Such a window shares 8/9 of its shingles. Every break between aligned parts costs at least four
-    shingles of the other ninth, so there are at most size / 36 breaks.
-    """
-    share = 2 * THRESHOLD / (1 + THRESHOLD)
-    return share * size / (size * ((1 - share) / (SHINGLE_WORDS - 1)) + 1) - 1e-9
+def least_shared(size: Column, window: Column) -> Column:
+    """Fewest shingles that an item and a window of the given sizes share at the threshold."""
+    return THRESHOLD / (1 + THRESHOLD) * (size + window) - 1e-9
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
-                 text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+                 text_col: str = "text", item_col: str = "item_id", item_text: str = "text"
+                 ) -> DataFrame:
     """(id, item_id, similarity, hamming, first_word): the best window per text and item.
 
     Items of fewer than five words are one shingle of that many words. Null or wordless texts and
@@ -97,18 +95,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     one result row; texts and items that share an id, or have none, have rows of their own. The item
     shingles are broadcast if they are few; else that join shuffles.
     """
-    return _found(docs, benchmark, id_col, text_col, item_col).drop("key")
+    return _found(docs, benchmark, id_col, text_col, item_col, item_text).drop("key")
 
 
 def _key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(quoted(id_col), text_of(text_col))
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
-           item_col: str) -> DataFrame:
+def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str,
+           item_text: str) -> DataFrame:
     """The rows of ``contaminated`` with the text's ``key``, which is known without an id, too."""
     items = benchmark.select(quoted(item_col).alias("item_id"),
-                             words_of(text_of("text")).alias("w")).filter("size(w) > 0").distinct()
+                             words_of(text_of(item_text)).alias("w")).filter("size(w) > 0").distinct()
     items = lineage_cut(items.withColumn("item", F.xxhash64("item_id", "w")))
     read = docs.select(
         _key(id_col, text_col).alias("key"), quoted(id_col).alias("id"),
@@ -130,9 +128,9 @@ def _found(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
 
 def _matches(read: DataFrame, items: DataFrame, size: int) -> DataFrame:
     items = lineage_cut(items.select("item", "item_id", gram_hashes(F.col("w"), size).alias("grams"))
-                        .withColumn("m", F.size("grams"))
-                        .withColumn("fp", simhash(F.col("grams"))))
-    grams = items.select("item", "m", F.posexplode("grams").alias("off", "gram"))
+                        .select("*", F.size("grams").alias("m"), simhash(F.col("grams")).alias("fp"),
+                                marked(F.col("grams")).alias("set")))
+    grams = items.select("item", "m", F.explode(F.array_distinct("grams")).alias("gram"))
     if grams.count() <= BROADCAST_ROWS:
         grams = F.broadcast(grams)
     spread = (
@@ -141,39 +139,31 @@ def _matches(read: DataFrame, items: DataFrame, size: int) -> DataFrame:
         # The outer form: for the other one Spark derives a filter that splits the text per shingle.
         .select("key", F.size("g").alias("n"), F.posexplode_outer("g").alias("pos", "gram"))
     )
-    # Of each alignment: how many shingles lie on it. Only texts with a long enough one can reach 0.8,
-    # but the window that does may start on another one.
-    runs = lineage_cut(
-        spread.join(grams, "gram").groupBy("key", "item", "m", "n",
-                                           (F.col("pos") - F.col("off")).alias("start"))
-        .count()
-    )
-    long_ = runs.filter(F.col("count") >= least_run(F.least("m", "n"))).select("key", "item")
-    runs = runs.join(long_.distinct(), ["key", "item"], "left_semi")
-    first = F.greatest(F.lit(0), F.least(F.col("start"), F.col("n") - F.col("m")))
-    windows = lineage_cut(runs.select("key", "m", first.cast("int").alias("start")).distinct())
-    texts = windows.join(read, "key").select(
+    # A repeated shingle of an item is one row here, so that a place counts once.
+    hits = spread.join(grams, "gram").select("key", "item", "m", "n", "pos")
+    windows = lineage_cut(window_starts(hits))
+    texts = windows.select("key", "m", "start").distinct().join(read, "key").select(
         "key", "id", "m", "start", words_of(F.col("text")).alias("w")
     ).select("key", "id", "m", "start",
              F.slice("w", F.col("start") + 1, F.col("m") + (size - 1)).alias("w"))
     printed = lineage_cut(
         texts.select("key", "id", "m", "start", gram_hashes(F.col("w"), size).alias("grams"))
-        .withColumn("fp", simhash(F.col("grams")))
+        .select("*", simhash(F.col("grams")).alias("fp"), marked(F.col("grams")).alias("set"))
     )
-    probe = printed.select("key", "start", "m", "fp", F.explode(blocks(F.col("fp"))).alias("e"))
-    target = items.select("item", "m", F.col("fp").alias("item_fp"),
-                          F.explode(blocks(F.col("fp"))).alias("e"))
+    probe = windows.join(printed.select("key", "start", "m", "fp"), ["key", "start", "m"]).select(
+        "key", "start", "m", "fp", "item", F.explode(blocks(F.col("fp"))).alias("e"))
+    target = items.select("item", F.col("fp").alias("item_fp"), F.explode(blocks(F.col("fp"))).alias("e"))
     near = (
-        probe.join(target, ["m", "e"])
+        probe.join(target, ["item", "e"])
         .withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
         .filter(F.col("hamming") <= RADIUS)
         .select("key", "start", "m", "item", "hamming").distinct()
     )
-    both = near.join(printed.select("key", "id", "start", "m", "grams"), ["key", "start", "m"]).join(
-        items.select("item", "item_id", "m", F.col("grams").alias("item_grams")), ["item", "m"]
+    both = near.join(printed.select("key", "id", "start", "m", "set"), ["key", "start", "m"]).join(
+        items.select("item", "item_id", F.col("set").alias("item_set")), "item"
     )
-    shared = both.withColumn("common", shared_weight(F.col("grams"), F.col("item_grams")))
-    alike = F.col("common") / (F.size("grams") + F.size("item_grams") - F.col("common"))
+    shared = both.withColumn("common", F.size(F.array_intersect("set", "item_set")))
+    alike = F.col("common") / (F.size("set") + F.size("item_set") - F.col("common"))
     best = F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("s"),
                           (-F.col("hamming")).alias("h")))
     return (
@@ -186,10 +176,30 @@ def _matches(read: DataFrame, items: DataFrame, size: int) -> DataFrame:
     )
 
 
+def window_starts(hits: DataFrame) -> DataFrame:
+    """(key, item, m, start): the windows with enough places that have a shingle of the item.
+
+    ``hits`` has a row (key, item, m, n, pos) for each such place of a text of n shingles. The places of
+    one text and item are counted in windows of the item's length (in units of that length, as a
+    frame's bounds cannot differ by row). The count is not below what window and item share.
+    """
+    own = Window.partitionBy("key", "item")
+    need = least_shared(F.col("m"), F.least("m", "n"))
+    enough = hits.select("*", F.count("*").over(own).alias("all")).filter(F.col("all") >= need)
+    counted = enough.select("key", "item", "m", "n", "pos", (F.col("pos") / F.col("m")).alias("at")).select(
+        "*", F.expr("count(*) over (partition by key, item order by at "
+                    "range between current row and 0.9999995D following)").alias("within"))
+    start = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("n") - F.col("m")))
+    return counted.filter(F.col("within") >= need).select(
+        "key", "item", "m", start.cast("int").alias("start")).distinct()
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
-    """The documents without a match, told apart by id and text; all columns stay."""
-    hits = _found(docs, benchmark, id_col, text_col, "item_id")
-    bad = lineage_cut(hits.select(F.col("key").alias("_bad_key"), F.col("id").alias("_bad")).distinct())
-    same = (_key(id_col, text_col) == F.col("_bad_key")) & quoted(id_col).eqNullSafe(F.col("_bad"))
-    return docs.join(bad, same, "left_anti")
+    """The documents without a match, told apart by id and text; all columns stay, whatever their names."""
+    hits = _found(docs, benchmark, id_col, text_col, "item_id", "text")
+    bad = lineage_cut(hits.select("key", "id").distinct())
+    rows = docs.select(_key(id_col, text_col).alias("key"), quoted(id_col).alias("id"),
+                       F.struct(*[quoted(c) for c in docs.columns]).alias("row"))
+    same = (rows["key"] == bad["key"]) & rows["id"].eqNullSafe(bad["id"])
+    return rows.join(bad, same, "left_anti").select("row.*")
