@@ -4,7 +4,8 @@ The page is cut into blocks at block-level tags. The first pass classifies every
 stop-word density, length and link density say good, bad or undecided (too short, or long without
 stop words). The second pass gives undecided blocks the label of their nearest decided neighbours in
 the same container. Containers that hold no article text (menus, footers, forms, adverts, comments)
-are bad as a whole, and if a page marks an article, so is everything outside of it.
+are bad as a whole, and if a page marks an article, so is everything outside of it. Pages are read by
+a scanner that passes every position once, however broken the markup is.
 """
 
 from __future__ import annotations
@@ -40,13 +41,16 @@ STOP_WORDS = frozenset(
     "het een van dat niet zijn op te voor met".split()
 )
 
-_RAW = "script|style|noscript|template|title|textarea|iframe|svg|math|object|canvas|select|button"
-_DROP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I
-)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>")
+# Elements whose content is no text: those of the first kind leave nothing between the words around them.
+_RAW = frozenset("script style noscript template".split())
+_RAW_APART = frozenset("title textarea iframe svg math object canvas select button".split())
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I | re.A) for name in (*_RAW, *_RAW_APART)}
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+_QUOTE_OR_END = re.compile(r"[\"'>]")
 _HINT = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u024f]")
+_SENTENCE_END = re.compile(r"[.!?\u2026\u0964\u061f](?=\s|$|[\"'\u00bb\u201d)])|[\u3002\uff01\uff1f]")
 
 _ARTICLE = frozenset({"article", "main"})
 _NEVER = frozenset({"nav", "footer", "aside", "form", "dialog", "menu"})
@@ -69,81 +73,168 @@ _BAD_NAMES = frozenset(
 )
 
 
+# Words of names that only say where or what kind of box an element is.
+_LAYOUT_NAMES = frozenset(
+    "box block area wrap wrapper container inner outer content section list item items row col column "
+    "top bottom left right main page site post article bar link links button text title header body "
+    "panel module component group unit slot placeholder large small mobile desktop".split()
+)
+_FINE, _LOWERED, _BAD = 0, 1, 2
+
+
 @dataclass
 class _Block:
     container: int
-    bad: bool
+    state: int
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
 
 
-def _flagged(attributes: str, in_article: bool) -> bool:
+def _state(attributes: str, in_article: bool) -> int:
+    """What class, id, role and visibility say of an element.
+
+    In an article a name is bad only if each of its parts is a bad or a layout word; one that merely
+    has a bad part lowers the labels of its blocks.
+    """
+    out = _FINE
     for name, value in _HINT.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
+                return _BAD
         elif name in ("hidden", "aria-hidden"):
             if value != "false":
-                return True
+                return _BAD
         else:
-            names = re.split(r"[^a-z0-9]+", value)
-            if any(n in _BAD_NAMES for n in names) or (not in_article and "header" in names):
-                return True
-    return False
+            for token in value.split():
+                parts = [x for x in re.split(r"[^a-z0-9]+", token) if x]
+                if any(x in _BAD_NAMES for x in parts):
+                    if not in_article or all(x in _BAD_NAMES or x in _LAYOUT_NAMES for x in parts):
+                        return _BAD
+                    out = _LOWERED
+                if not in_article and "header" in parts:
+                    return _BAD
+    return out
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, rest) in page order: texts ("text", "", text), tags ("open" or "close", name,
+    attributes) and ("gap", "", "") for dropped content that stands apart from the words around it.
+
+    Every position is passed once. A tag ends at the first ``>`` outside of quotes. If a page turns out
+    to have a quote that is never closed, from there on quotes don't count. A tag, comment or element
+    without end takes the rest of the page.
+    """
+    at, quotes = 0, True
+    while at < len(page):
+        start = page.find("<", at)
+        if start < 0:
+            yield "text", "", page[at:]
+            return
+        if start > at:
+            yield "text", "", page[at:start]
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            if end < 0:
+                return
+            at = end + 3
+            continue
+        name = _NAME.match(page, start)
+        if name is None:
+            if page[start + 1 : start + 2] in ("!", "?", "/"):
+                end = page.find(">", start)
+                if end < 0:
+                    return
+                at = end + 1
+            else:
+                yield "text", "", "<"
+                at = start + 1
+            continue
+        end = _tag_end(page, name.end()) if quotes else None
+        if end is None:
+            quotes = False
+            end = page.find(">", name.end())
+            if end < 0:
+                return
+        at = end + 1
+        low = name.group(1).lower()
+        if page[start + 1] == "/":
+            yield "close", low, ""
+            continue
+        attributes = page[name.end() : end]
+        if low in _RAW_END and not (low in ("svg", "math", "object") and attributes.endswith("/")):
+            close = _RAW_END[low].search(page, at)
+            if low in _RAW_APART:
+                yield "gap", "", ""
+            if close is None:
+                return
+            at = close.end()
+            continue
+        yield "open", low, attributes
+
+
+def _tag_end(page: str, at: int) -> int | None:
+    """Where the ``>`` of a tag stands; None if a quote or the page ends before."""
+    while True:
+        found = _QUOTE_OR_END.search(page, at)
+        if found is None:
+            return None
+        if found.group() == ">":
+            return found.start()
+        close = page.find(found.group(), found.end())
+        if close < 0:
+            return None
+        at = close + 1
 
 
 def blocks(page: str) -> tuple[list[_Block], bool]:
     """Blocks with text in page order, and whether the page marks an article."""
-    page = _DROP.sub(" ", page)
     out: list[_Block] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, bad, article number (0: outside)
-    articles, links, at = 0, 0, 0
-    bad, inside = False, 0
-    block = _Block(0, False)
-
-    def add(text: str) -> None:
-        if text:
-            text = html.unescape(text)
+    stack: list[tuple[str, int, int]] = []  # tag, state, article number (0: outside)
+    depths: dict[str, list[int]] = {}  # where the open containers of each name are
+    articles, link = 0, -1  # link: depth at which the open link began
+    state, inside = _FINE, 0
+    block = _Block(0, _FINE)
+    for kind, name, rest in tokens(page):
+        if kind == "text":
+            text = html.unescape(rest)
             block.pieces.append(text)
-            if links:
+            if link >= 0:
                 block.linked += len(" ".join(text.split()))
-
-    for tag in _TAG.finditer(page):
-        add(page[at : tag.start()])
-        at = tag.end()
-        closing, name, attributes = tag.group(1, 2, 3) if tag.group(2) else tag.group(4, 5, 6)
-        name = name.lower()
-        if name == "br":
+            continue
+        closing = kind == "close"
+        if kind == "gap" or name == "br":
             block.pieces.append(" ")
             continue
         if name == "a":
-            links = 0 if closing else 1
-        if name in _CONTAINERS and name != "a":
+            link = -1 if closing else len(stack)
+        elif name in _CONTAINERS:
             if closing:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == name:
-                        del stack[depth:]
-                        break
-            elif not attributes.endswith("/"):
+                if depths.get(name):
+                    depth = depths[name][-1]
+                    for gone, _, _ in stack[depth:]:
+                        depths[gone].pop()
+                    del stack[depth:]
+                    if link > depth:  # a link ends with the container it began in
+                        link = -1
+            elif not rest.endswith("/"):
                 within = inside
                 if name in _ARTICLE:
                     if not within:  # an article also ends what was left open before it
                         articles += 1
                         within = articles
-                    low = _flagged(attributes, True)
+                    low = _state(rest, True)
                 else:
-                    low = bad or name in _NEVER or (name == "header" and not within)
-                    low = low or _flagged(attributes, bool(within))
+                    low = max(state, _state(rest, bool(within)))
+                    if name in _NEVER or (name == "header" and not within):
+                        low = _BAD
+                depths.setdefault(name, []).append(len(stack))
                 stack.append((name, low, within))
-            bad, inside = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-        if name in _BLOCKS or bad != block.bad or inside != block.container:
+            state, inside = (stack[-1][1], stack[-1][2]) if stack else (_FINE, 0)
+        if name in _BLOCKS or state != block.state or inside != block.container:
             if block.pieces:
                 out.append(block)
-            block = _Block(inside, bad)
-            if name in _BLOCKS:
-                links = 0
-    add(page[at:])
+            block = _Block(inside, state)
     if block.pieces:
         out.append(block)
     return out, articles > 0
@@ -154,6 +245,20 @@ def _stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
+def _prose(text: str) -> str:
+    """Label of a long block without known stop words, by its script and its sentences.
+
+    Sentences of a usual length in a script other than Latin are text; in Latin script, which the
+    lists cover best, they leave the block undecided. Without sentences it is no text.
+    """
+    words = _WORD.findall(text)
+    ends = len(_SENTENCE_END.findall(text))
+    letters = sum(map(len, words))
+    if not letters or not ends or not 8 <= letters / ends <= 300 or letters < 0.6 * len(text):
+        return "bad"
+    return "good" if sum(len(_LATIN.findall(w)) for w in words) < 0.5 * letters else "open"
+
+
 def extract(page: str | None) -> str:
     """The article's blocks, joined by a line feed; empty if there are none."""
     if not page:
@@ -164,7 +269,7 @@ def extract(page: str | None) -> str:
         text = " ".join("".join(block.pieces).split())
         if not text:
             continue
-        if block.bad or (marked and not block.container):
+        if block.state == _BAD or (marked and not block.container):
             label = "bad"
         elif block.linked > LINK_DENSITY * len(text):
             label = "bad"
@@ -172,8 +277,12 @@ def extract(page: str | None) -> str:
             label = "open"
         elif _stop_density(text) >= STOP_DENSITY:
             label = "good"
-        else:  # long without stop words: junk outside of an article, undecided inside
-            label = "open" if block.container or len(text) < LONG_CHARS else "bad"
+        elif block.container or len(text) < LONG_CHARS:
+            label = "open"
+        else:
+            label = _prose(text)
+        if block.state == _LOWERED:
+            label = {"good": "open"}.get(label, "bad")
         kept.append((text, block.container, label))
     return "\n".join(t for t, label in zip((k[0] for k in kept), _settle(kept), strict=True)
                      if label == "good")
@@ -220,7 +329,8 @@ def main_text(pages: DataFrame, html_col: str = "html",
               keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Row by row: the ``keep`` columns, text and n_chars (code points). Nothing is shuffled.
 
-    A null page counts as empty. Unclosed tags, comments and truncated pages are read to their end.
+    A null page counts as empty. Unclosed comments and elements without text content end the text; open
+    containers don't. Repeated rows give equal rows. Very long pages take time in proportion.
     """
     columns = [c for c in keep if c not in ("text", "n_chars")]
     read = pages.select(*[quoted(c) for c in columns],
