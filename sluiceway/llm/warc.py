@@ -13,15 +13,17 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluiceway.llm.common import quoted
-from sluiceway.sources import lineage_cut
+from sluiceway.sources import balanced, lineage_cut
 
 RECORDS_PER_FILE = 20_000
+ROWS_PER_BATCH = 4096
 CHUNK = 1 << 20
 LEVEL = 6
 _DATE = "2024-01-01T00:00:00Z"  # a fixed crawl date keeps archives reproducible
@@ -71,6 +73,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                    per_file: int = RECORDS_PER_FILE) -> str:
     """One record per row, in gzip files of at most ``per_file`` records.
 
+    Files are bounded by bytes as well: records are dealt out by size, so that a file inflates to about
+    the session's advisory partition size (``spark.sql.adaptive.advisoryPartitionSizeInBytes``) of
+    shuffled bytes, or to its one record if that is larger.
     Of rows with equal payloads of at least ``least_bytes`` bytes, those with the largest id are
     responses, the others revisits without payload. Null payloads are empty; null ids lose against
     all others, and a group of null ids alone is all responses. White space in addresses is encoded.
@@ -106,7 +111,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         header("Content-Length", F.when(repeat, 0).otherwise(F.col("size")).cast("string")),
         F.lit(_RECORD_END), F.when(repeat, "").otherwise(F.col("payload")),
     )
-    (rows.select(record.alias("value")).write.option("lineSep", _RECORD_END)
+    (balanced(rows.select(record.alias("value"))).write.option("lineSep", _RECORD_END)
      .option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path))
     return path
 
@@ -140,7 +145,7 @@ def _field(head: bytes, name: bytes) -> str | None:
     return None
 
 
-def _inflated(content: bytes) -> Iterator[bytes]:
+def _inflated(content: memoryview) -> Iterator[bytes]:
     unpacker = zlib.decompressobj(31)
     for at in range(0, len(content), CHUNK):
         data = content[at : at + CHUNK]
@@ -156,7 +161,7 @@ def _to_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
             held, size = [], 0
-            for record in _records(_inflated(content.as_py())):
+            for record in _records(_inflated(memoryview(content.as_buffer()))):
                 held.append(_member(record))
                 size += len(held[-1])
                 if size > 4 * CHUNK:
@@ -203,7 +208,7 @@ def parse(record: bytes) -> tuple:
             _page_id(_field(head, b"warc-refers-to")), size, digest)
 
 
-def _members(content: bytes) -> Iterator[tuple[int, int, bytes]]:
+def _members(content: memoryview) -> Iterator[tuple[int, int, bytes]]:
     """(offset, length, data) of every member that is not empty."""
     at = 0
     while at < len(content):
@@ -222,11 +227,11 @@ def _to_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.string() if "string" in x else pa.int64() for x in _INDEX.split(", ")]
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            rows = [(path, at, length, *parse(data))
-                    for at, length, data in _members(content.as_py())]
-            columns = list(zip(*rows, strict=True)) or [[] for _ in names]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            rows = ((path, at, length, *parse(data))
+                    for at, length, data in _members(memoryview(content.as_buffer())))
+            for some in batched(rows, ROWS_PER_BATCH):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], names)
 
 
 def write_index(spark: SparkSession, archives: str, path: str) -> DataFrame:
@@ -244,7 +249,7 @@ def fetch(spark: SparkSession, archives: str, index: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content, parts in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                data = content.as_py()
+                data = memoryview(content.as_buffer())
                 records = [zlib.decompress(data[p["offset"] : p["offset"] + p["length"]], 31)
                            for p in parts]
                 yield pa.RecordBatch.from_arrays([
