@@ -16,7 +16,7 @@ from sluiceway.llm.common import WORD, quoted, text_of
 from sluiceway.sources import lineage_cut
 
 ROWS_PER_BIN = 4096
-STEPS = 32  # levels between two tried in one step of the search
+STEPS = 64  # levels between two tried in one step of the search
 RANK_BINS = 1024
 
 
@@ -83,6 +83,7 @@ def fill(nodes: DataFrame, parents: DataFrame) -> DataFrame:
             F.struct(F.concat("up", F.lit("0")).alias("group"), then.alias("budget")))).alias("g"))
         .select("g.*", F.lit(0).cast("long").alias("level"))
     )
+    state = lineage_cut(state)
     top = nodes.agg(F.max(F.ceil(F.col("cap") / F.col("weight")))).first()[0] or 0
 
     def held(level: Column) -> Column:
@@ -92,12 +93,15 @@ def fill(nodes: DataFrame, parents: DataFrame) -> DataFrame:
     while width * STEPS <= top:
         width *= STEPS
     while width:
-        at = [F.col("level") + step * width for step in range(1, STEPS)]
-        tried = nodes.join(state, "group").groupBy("group", "budget", "level").agg(
-            *[F.sum(held(level)).alias(f"s{k}") for k, level in enumerate(at)])
-        covered = sum((F.col(f"s{k}") <= F.col("budget")).cast("long") for k in range(STEPS - 1))
-        state = lineage_cut(tried.select("group", "budget", (F.col("level") + covered * width)
-                                         .alias("level")))
+        tried = (
+            nodes.join(state, "group")
+            .select("*", F.explode(F.sequence(F.lit(1), F.lit(STEPS - 1))).alias("k"))
+            .groupBy("group", "budget", "level", "k")
+            .agg(F.sum(held(F.col("level") + F.col("k") * width)).alias("s"))
+        )
+        state = lineage_cut(tried.groupBy("group", "budget", "level").agg(
+            F.count_if(F.col("s") <= F.col("budget")).alias("k"))
+            .select("group", "budget", (F.col("level") + F.col("k") * width).alias("level")))
         width //= STEPS
     got = nodes.join(state, "group").select(
         "group", "node", "budget", held(F.col("level")).alias("got"),
