@@ -1,9 +1,11 @@
 """Removal of byte strings of ``LENGTH`` bytes that occur more than once in a corpus.
 
 1. Screening. The hash-minimal 64-byte gram of every 400-byte string is its anchor; equal strings have
-   equal anchors at equal places. Neighbouring strings with one anchor make up a context. Contexts
-   whose anchor gram occurs once in the corpus hold no repeated string and are left out; of equal
-   contexts one is kept with its count.
+   equal anchors at equal places. Neighbouring strings with one anchor gram make up a context, also
+   where the gram stands at another place for each of them: a periodic stretch is one context, not
+   one per byte. Contexts whose anchor gram occurs once in the corpus hold no repeated string and are
+   left out; of equal contexts one is kept with its count. Long texts are screened in overlapping
+   slices, so that a task's memory does not depend on the length of a text.
 2. Suffix arrays. Contexts are dealt to shards by anchor, so that equal strings meet. Every shard's
    suffixes are sorted by Larsson-Sadakane refinement, and common prefixes follow by Kasai's rule, one
    chain of shrinking prefixes per context.
@@ -11,6 +13,10 @@
    their distinct strings as sorted runs of fingerprints by range, and strings that another shard has
    are found by binary search in the merged run.
 4. Marks go back to the documents along contexts, and covered bytes are removed.
+
+Within a shard strings are compared byte by byte. Contexts of one anchor are told apart, and strings
+of different shards found equal, by 64-bit hashes: among ``n`` distinct ones, some two have the same
+hash with a probability of about ``n * n / 2 ** 65`` if hashes are evenly spread.
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ LENGTH = 400
 GRAM = 64
 SHARD_BYTES = 1 << 21  # context bytes of a shard on average
 SPREAD_BYTES = 1 << 20  # an anchor with more context bytes is spread over shards
+SLICE_STARTS = 1 << 18  # string starts that a long text is screened by, and so of a context at most
+CHAIN = 512  # starts that share one chain of shrinking prefixes
 _WINDOW = LENGTH - GRAM + 1  # gram positions of a string
 
 
@@ -44,10 +52,14 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Contexts of a batch: text number, first and last string start, anchor hash, context hash."""
-    names = ("text", "first", "last", "anchor", "context")
+    """Contexts of a batch: text number, first and last string start, anchor hash, context hash.
+
+    ``places`` is 1, or 2 where the anchor gram stands at more than one place of the context, which may
+    then repeat its own strings.
+    """
+    names = ("text", "first", "last", "places", "anchor", "context")
     if len(data) < LENGTH:
-        return {n: np.empty(0, np.uint64 if n in names[3:] else np.int64) for n in names}
+        return {n: np.empty(0, np.uint64 if n in names[4:] else np.int64) for n in names}
     prefix = textops.prefix_hash(data)
     at = np.arange(len(data) - GRAM + 1)
     gram = textops.span_hash(prefix, at, at + GRAM)
@@ -59,13 +71,15 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     text = np.repeat(np.arange(len(sizes)), count)
     start = np.arange(int(count.sum())) + np.repeat(offsets[:-1] - (np.cumsum(count) - count), count)
     own = anchor[start]
+    held = gram[own]
     new = np.ones(len(own), bool)
-    new[1:] = (own[1:] != own[:-1]) | (text[1:] != text[:-1])
+    new[1:] = (held[1:] != held[:-1]) | (text[1:] != text[:-1])
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(own)) - 1
     first, last, who = start[head], start[tail], text[head]
     base = offsets[who]
-    return {"text": who, "first": first - base, "last": last - base, "anchor": gram[own[head]],
+    places = np.where(own[head] == own[tail], 1, 2)
+    return {"text": who, "first": first - base, "last": last - base, "places": places, "anchor": held[head],
             "context": textops.span_hash(prefix, first, last + LENGTH)}
 
 
@@ -115,8 +129,8 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, first
                     count: np.ndarray) -> np.ndarray:
     """Common prefix, at most ``LENGTH``, of each string start with the suffix before it.
 
-    Kasai's rule along the starts ``first[i] .. first[i] + count[i] - 1`` of every context: going one
-    byte on, the prefix shrinks by one at most. All contexts take a step together.
+    Kasai's rule along the starts ``first[i] .. first[i] + count[i] - 1`` of every chain: going one
+    byte on, the prefix shrinks by one at most. All chains take a step together.
     """
     n = len(data)
     padded = np.concatenate([data, np.zeros(LENGTH + 8, np.uint8)])
@@ -160,7 +174,10 @@ def repeated_starts(parts: list[np.ndarray], copies: np.ndarray) -> list[np.ndar
     first = np.cumsum(sizes) - sizes
     count = sizes - LENGTH + 1
     order, rank = suffix_array(data)
-    lcp = common_prefixes(data, order, rank, first, count)
+    links = -(-count // CHAIN)
+    nth = np.arange(int(links.sum())) - np.repeat(np.cumsum(links) - links, links)
+    lcp = common_prefixes(data, order, rank, np.repeat(first, links) + CHAIN * nth,
+                          np.minimum(np.repeat(count, links) - CHAIN * nth, CHAIN))
     owner = np.repeat(np.arange(len(parts)), count)
     start = np.arange(int(count.sum())) + np.repeat(first - (np.cumsum(count) - count), count)
     # Only starts of strings count; other suffixes may stand between equal ones, also with a common
@@ -188,20 +205,36 @@ def repeated_starts(parts: list[np.ndarray], copies: np.ndarray) -> list[np.ndar
     return np.split(repeated, np.cumsum(count)[:-1])
 
 
-_CONTEXTS = "id long, key long, first int, last int, anchor long, context long"
+_CONTEXTS = "id long, key long, first int, last int, places int, anchor long, context long"
+
+
+def _stretches(offsets: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Texts from, to, and bytes from, to: ranges of whole texts, or of one long text a part.
+
+    Parts overlap so that every string of ``LENGTH`` bytes starts in exactly one of them.
+    """
+    for lo, hi in textops.slices(offsets):
+        begin, end = int(offsets[lo]), int(offsets[hi])
+        if hi - lo > 1 or end - begin < SLICE_STARTS + LENGTH:
+            yield lo, hi, begin, end
+            continue
+        for at in range(begin, end - LENGTH + 1, SLICE_STARTS):
+            yield lo, hi, at, min(at + SLICE_STARTS + LENGTH - 1, end)
 
 
 def _find_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = textops.batch_bytes(batch.column(2))
-        for lo, hi in textops.slices(offsets):
-            got = contexts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            rows = pa.array(got["text"] + lo)
+        for lo, hi, begin, end in _stretches(offsets):
+            own = np.clip(offsets[lo : hi + 1], begin, end) - begin
+            got = contexts(data[begin:end], own)
+            rows, skipped = pa.array(got["text"] + lo), begin - int(offsets[lo])
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).take(rows), batch.column(1).take(rows),
-                pa.array(got["first"].astype(np.int32)), pa.array(got["last"].astype(np.int32)),
+                pa.array((got["first"] + skipped).astype(np.int32)),
+                pa.array((got["last"] + skipped).astype(np.int32)), pa.array(got["places"].astype(np.int32)),
                 pa.array(got["anchor"].view(np.int64)), pa.array(got["context"].view(np.int64)),
-            ], ["id", "key", "first", "last", "anchor", "context"])
+            ], ["id", "key", "first", "last", "places", "anchor", "context"])
 
 
 _BYTES = "shard long, anchor long, context long, copies long, spread boolean, data binary"
@@ -344,7 +377,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     read = docs.select(quoted(id_col).cast("long").alias("id"),
                        F.xxhash64(quoted(id_col), text).alias("key"), text.alias("text"))
     found = lineage_cut(read.mapInArrow(_find_contexts, _CONTEXTS))
-    twice = found.groupBy("anchor").count().filter("count > 1").select("anchor")
+    twice = found.groupBy("anchor").agg(F.sum("places").alias("n")).filter("n > 1").select("anchor")
     cand = lineage_cut(found.join(twice, "anchor"))
     unique = lineage_cut(cand.groupBy("anchor", "context").agg(
         F.count("*").alias("copies"), F.min(F.struct("key", "id", "first", "last")).alias("at")
