@@ -5,7 +5,7 @@
    where the gram stands at another place for each of them: a periodic stretch is one context, not
    one per byte. Contexts whose anchor gram occurs once in the corpus hold no repeated string and are
    left out; of equal contexts one is kept with its count. Long texts are screened in overlapping
-   slices, so that a task's memory does not depend on the length of a text.
+   slices, so that the arrays of this step do not grow with a text; the text itself is in memory.
 2. Suffix arrays. Contexts are dealt to shards by anchor, so that equal strings meet. Every shard's
    suffixes are sorted by Larsson-Sadakane refinement, and common prefixes follow by Kasai's rule, one
    chain of shrinking prefixes per context.
