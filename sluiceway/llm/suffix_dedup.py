@@ -14,8 +14,9 @@
    are found by binary search in the merged run.
 4. Marks go back to the documents along contexts, and covered bytes are removed.
 
-Within a shard strings are compared byte by byte. Contexts of one anchor are told apart, and strings
-of different shards found equal, by 64-bit hashes: among ``n`` distinct ones, some two have the same
+Within a shard neighbours in the suffix array are compared byte by byte if the later one is a string
+start. By 64-bit hashes other neighbours are compared, contexts of one anchor told apart, and strings
+of different shards found equal: among ``n`` distinct ones, some two have the same
 hash with a probability of about ``n * n / 2 ** 65`` if hashes are evenly spread.
 """
 
