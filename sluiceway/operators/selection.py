@@ -36,17 +36,56 @@ def feature_values(df: DataFrame, features: str = "features", label: str = "labe
     return out.select("feature", F.nanvl("value", F.lit(None).cast("double")).alias("value"), "label")
 
 
+def _cut_ranges(values: DataFrame, bins: int, accuracy: int) -> DataFrame:
+    """(feature, cut, low, high, below, rank): a value range that surely holds the cut.
+
+    Approximate quantiles on both sides of a rank give two edges, and exact counts at them tell whether
+    the rank lies between, below or above; a null bound is open, and an edge beside it left out.
+    """
+    pad = 2.0 / accuracy
+    shares = [i / bins for i in range(1, bins)]
+    near = [min(max(p + d, 0.0), 1.0) for p in shares for d in (-pad, pad)]
+    edges = values.groupBy("feature").agg(F.percentile_approx("value", near, accuracy).alias("edges"))
+    value, at = F.col("value"), F.col("edges").getItem
+    counted = values.join(F.broadcast(edges), "feature").groupBy("feature").agg(  # as many rows as
+        F.count("*").alias("n"), F.first("edges").alias("edges"),                 # the vector is wide
+        F.array(*[F.count_if(value < at(2 * i)) for i in range(bins - 1)]).alias("lower"),
+        F.array(*[F.count_if(value <= at(2 * i + 1)) for i in range(bins - 1)]).alias("upto"))
+
+    def span(i: int) -> Column:
+        rank = F.greatest(F.ceil(F.lit(shares[i]) * F.col("n")), F.lit(1))
+        lower, upto = F.col("lower")[i], F.col("upto")[i]
+        under, over = rank <= lower, rank > upto
+        return F.struct(
+            F.lit(i).alias("cut"), rank.alias("rank"), under.alias("under"), over.alias("over"),
+            F.when(over, at(2 * i + 1)).when(~under, at(2 * i)).alias("low"),
+            F.when(under, at(2 * i)).when(~over, at(2 * i + 1)).alias("high"),
+            F.when(under, F.lit(0)).when(over, upto).otherwise(lower).alias("below"))
+
+    spans = F.explode(F.array(*[span(i) for i in range(bins - 1)])).alias("s")
+    return counted.select("feature", spans).select("feature", "s.*")
+
+
 def quantile_cuts(values: DataFrame, bins: int, accuracy: int = 10_000) -> DataFrame:
-    """(feature, cuts): ``bins - 1`` cut values per feature, at rank ceil(i n / bins).
+    """(feature, cuts): ``bins - 1`` cut values per feature, exactly those at rank ceil(i n / bins).
 
-    One aggregate for all features; a task sends a sketch of bounded size per feature. Exact while
-    a feature has at most ``accuracy`` values, else a rank is off by at most n / accuracy.
+    A rank is searched within a range of about 4 n / ``accuracy`` values, where equal ones count once,
+    so no task sorts a feature. Only speed depends on the accuracy. Features without values have no row.
     """
     if bins < 2:
         raise ValueError("at least two bins are needed")
-    shares = [i / bins for i in range(1, bins)]
-    return values.groupBy("feature").agg(
-        F.percentile_approx("value", shares, accuracy).alias("cuts"))
+    some = values.filter(F.col("value").isNotNull()).select("feature", "value")
+    ranges = F.broadcast(_cut_ranges(some, bins, accuracy))  # bins - 1 rows per feature
+    value, low, high = F.col("value"), F.col("low"), F.col("high")
+    above = low.isNull() | (value > low) | ((value == low) & ~F.col("over"))
+    under = high.isNull() | (value < high) | ((value == high) & ~F.col("under"))
+    inside = some.join(ranges, "feature").filter(above & under)
+    steps = inside.groupBy("feature", "cut", "rank", "below", "value").agg(F.count("*").alias("rows"))
+    upto = F.col("below") + F.sum("rows").over(Window.partitionBy("feature", "cut").orderBy("value"))
+    found = steps.withColumn("upto", upto).filter(F.col("upto") >= F.col("rank")).groupBy(
+        "feature", "cut").agg(F.min("value").alias("value"))
+    ordered = F.array_sort(F.collect_list(F.struct("cut", "value")))
+    return found.groupBy("feature").agg(F.transform(ordered, lambda s: s["value"]).alias("cuts"))
 
 
 def value_bin(value: Column, cuts: Column, bins: int) -> Column:
@@ -69,7 +108,7 @@ def contingency(df: DataFrame, features: str = "features", label: str = "label",
     """
     values = feature_values(df.filter(as_column(label).isNotNull()), features, label)
     cuts = quantile_cuts(values, bins, accuracy)
-    binned = values.join(F.broadcast(cuts), "feature")  # as many rows as the vector is wide
+    binned = values.join(F.broadcast(cuts), "feature", "left")  # as many rows as the vector is wide
     return binned.groupBy("feature", value_bin(F.col("value"), F.col("cuts"), bins).alias("bin"), "label"
                           ).agg(F.count("*").alias("rows"))
 
