@@ -26,6 +26,8 @@ STEMS = (4, 5, 6)
 SAMPLE_PER_GRADE = 2500
 REJECT_FROM = 0.3
 SMOOTHING = 3.0
+#: Entries of the sample matrix that the fit expands at a time, to wide index and product arrays.
+ENTRIES_AT_ONCE = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -52,13 +54,26 @@ def presence(features_in_text: np.ndarray | int) -> np.ndarray | float:
     return 8.0 / np.sqrt(features_in_text + 20.0)
 
 
+def _row_blocks(rows: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with up to ``ENTRIES_AT_ONCE`` entries; a longer row is a range of its own."""
+    lo = 0
+    while lo < len(rows) - 1:
+        hi = int(np.searchsorted(rows, rows[lo] + ENTRIES_AT_ONCE, side="right")) - 1
+        hi = max(hi, lo + 1)
+        yield lo, hi
+        lo = hi
+
+
 def log_ratio(numbers: np.ndarray, rows: np.ndarray, grades: np.ndarray) -> np.ndarray:
     """Smoothed log ratio of every feature's document frequency above grade 0 and in grade 0."""
     size = 1 << FEATURE_BITS
-    toxic = np.repeat(grades > 0, np.diff(rows))
     n_toxic, n_clean = int((grades > 0).sum()), int((grades == 0).sum())
-    high = np.bincount(numbers[toxic], minlength=size) + SMOOTHING
-    low = np.bincount(numbers[~toxic], minlength=size) + SMOOTHING
+    high, low = np.full(size, SMOOTHING), np.full(size, SMOOTHING)
+    for lo, hi in _row_blocks(rows):
+        part = numbers[rows[lo] : rows[hi]]
+        toxic = np.repeat(grades[lo:hi] > 0, np.diff(rows[lo : hi + 1]))
+        high += np.bincount(part[toxic], minlength=size)
+        low += np.bincount(part[~toxic], minlength=size)
     return np.log(high / (n_toxic + 2 * SMOOTHING)) - np.log(low / (n_clean + 2 * SMOOTHING))
 
 
@@ -66,22 +81,32 @@ def fit(numbers: np.ndarray, values: np.ndarray, rows: np.ndarray, grades: np.nd
         row_weights: np.ndarray, top: int, steps: int = 60, l2: float = 1e-4) -> OrdinalModel:
     """Weighted maximum likelihood by Adam over a sparse matrix in row order.
 
-    ``rows`` are the n + 1 offsets of the rows' entries. The gap between thresholds stays positive
+    ``rows`` are the n + 1 offsets of the rows' entries, which are expanded in blocks of rows only. The
+    gap between thresholds stays positive
     by its logarithm; a grade nobody has is held near its neighbour's threshold by the penalty.
     """
     size, n = 1 << FEATURE_BITS, len(grades)
     w, base, gaps = np.zeros(size), np.zeros(1), np.zeros(max(top - 1, 0))
     if n == 0:
         return OrdinalModel(w.astype(np.float32), np.full(top, 4.0) + np.arange(top))
-    used, local = np.unique(numbers, return_inverse=True)
-    owner = np.repeat(np.arange(n), np.diff(rows))
+    seen = np.zeros(size, bool)
+    seen[numbers] = True
+    used = np.flatnonzero(seen)
+    place = np.zeros(size, np.int32)
+    place[used] = np.arange(len(used))
+    local = place[numbers]
+    blocks, lengths = list(_row_blocks(rows)), np.diff(rows)
     share = row_weights / row_weights.sum()
     above = (grades[:, None] >= np.arange(1, top + 1)[None, :]).astype(float)
     w = np.zeros(len(used))
     parts = [w, base, gaps]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in parts]
     for step in range(1, steps + 1):
-        score = np.bincount(owner, values * w[local], n)
+        score = np.zeros(n)
+        for lo, hi in blocks:
+            own = slice(rows[lo], rows[hi])
+            owner = np.repeat(np.arange(hi - lo), lengths[lo:hi])
+            score[lo:hi] = np.bincount(owner, values[own] * w[local[own]], hi - lo)
         limits = base[0] + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
         reach = 1.0 / (1.0 + np.exp(-np.clip(score[:, None] - limits[None, :], -40, 40)))
         # P(grade = k) is a difference of neighbouring reaches.
@@ -98,8 +123,12 @@ def fit(numbers: np.ndarray, values: np.ndarray, rows: np.ndarray, grades: np.nd
         pull = own / p[:, None] * share[:, None]  # d log-likelihood / d (score - limit)
         d_score = pull.sum(axis=1)
         d_limit = -pull.sum(axis=0)
+        towards = np.zeros(len(used))
+        for lo, hi in blocks:
+            own = slice(rows[lo], rows[hi])
+            np.add.at(towards, local[own], values[own] * np.repeat(d_score[lo:hi], lengths[lo:hi]))
         grads = [
-            -np.bincount(local, values * d_score[owner], len(used)) + l2 * w,
+            -towards + l2 * w,
             np.array([-d_limit.sum()]),
             -np.array([d_limit[k + 1 :].sum() for k in range(len(gaps))]) * np.exp(gaps)
             + 1e-3 * gaps if len(gaps) else gaps,
@@ -148,34 +177,37 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(quoted(id_col).alias("_id"), text_of(text_col).alias("_text"))
     sample = texts.join(F.broadcast(picked), "_id").dropDuplicates(["_id"])
     sparse = sample.select("_grade", "_text").mapInArrow(
-        _entries, "_grade int, numbers array<int>, shares array<float>"
+        _entries, "_grade int, numbers array<int>, share float"
     ).toArrow()
     grades = sparse["_grade"].to_numpy().astype(int)
     numbers = sparse["numbers"].combine_chunks()
     rows = np.concatenate([[0], np.cumsum(numbers.value_lengths().to_numpy().astype(np.int64))])
-    values = sparse["shares"].combine_chunks().flatten().to_numpy().astype(np.float64)
+    shares = sparse["share"].to_numpy().astype(np.float64)
     drawn = np.bincount(grades, minlength=top + 1)
     back = np.array([counts.get(g, 0) / max(drawn[g], 1) for g in range(top + 1)])
     flat = numbers.flatten().to_numpy()
+    del sparse, numbers
     ratio = log_ratio(flat, rows, grades)
-    model = fit(flat, ratio[flat] * values, rows, grades, back[grades], top)
+    values = ratio[flat]
+    values *= np.repeat(shares, np.diff(rows))
+    model = fit(flat, values, rows, grades, back[grades], top)
     return OrdinalModel((model.weights * ratio).astype(np.float32), model.thresholds)
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = textops.batch_bytes(batch.column(1))
-        numbers, shares = [], []
+        numbers = []
         for lo, hi in textops.slices(offsets):
             part = data[offsets[lo] : offsets[hi]]
             found, words = features(part, offsets[lo : hi + 1] - offsets[lo])
             for i in range(hi - lo):
                 own = np.unique(found[words[i] : words[i + 1]])
                 numbers.append(own)
-                shares.append(np.full(len(own), presence(len(own)), np.float32))
+        shares = presence(np.array([len(own) for own in numbers], np.int64)).astype(np.float32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(numbers, pa.list_(pa.int32())),
-             pa.array(shares, pa.list_(pa.float32()))], ["_grade", "numbers", "shares"])
+            [batch.column(0), pa.array(numbers, pa.list_(pa.int32())), pa.array(shares)],
+            ["_grade", "numbers", "share"])
 
 
 def reaches(column: pa.Array, model: OrdinalModel) -> np.ndarray:
