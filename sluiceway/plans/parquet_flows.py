@@ -10,7 +10,7 @@ from sluiceway.operators.sampling import sample_by, split_drawn
 from sluiceway.operators.stages import flow_stages
 from sluiceway.operators.stats import class_counts
 from sluiceway.operators.weights import with_binary_weights, with_fixed_weight
-from sluiceway.sources import lineage_cut, read_available, save_model, write_table
+from sluiceway.sources import lineage_cut, read_available, save_model, write_parts
 from sluiceway.specs import FLOW_COLUMNS, FLOW_SAMPLE_FRACTIONS, THREE_WAY, Split
 
 _SPLIT = "split"
@@ -64,7 +64,7 @@ def prepare_flows(
         with_fixed_weight(vectors, "label") if weighting == "fixed"
         else with_binary_weights(vectors, "label", counts_from=sample, name="class_weight")
     )
-    write_table(weighted, f"{out}/flows", files, partition_by=[_SPLIT])
+    write_parts(weighted, f"{out}/flows", _SPLIT, split.parts, files)
     save_model(model, f"{out}/stages")
     written = spark.read.parquet(f"{out}/flows")
     return {"flows": written, "distribution": class_counts(written, ["label"]), "stages": model}

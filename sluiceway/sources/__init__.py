@@ -18,6 +18,7 @@ from sluiceway.sources.sinks import (
     small_table,
     stamp,
     write_partitions,
+    write_parts,
     write_run,
     write_table,
 )
@@ -34,5 +35,5 @@ __all__ = [
     "balanced", "csv_layouts", "lineage_cut", "load_model", "normalize_headers", "normalized_names",
     "persisted", "read_available", "read_csv_union", "read_parquet_cols", "read_positional_csv",
     "read_uflow", "remove_folder", "run_path", "save_model", "scratch", "shared_dir", "small_table",
-    "stamp", "uflow_from", "write_partitions", "write_run", "write_table",
+    "stamp", "uflow_from", "write_partitions", "write_parts", "write_run", "write_table",
 ]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluiceway.sources.workspace import balanced
+from sluiceway.sources.workspace import balanced, remove_folder
 
 
 def write_table(
@@ -37,6 +37,22 @@ def write_table(
     return path
 
 
+def write_parts(df: DataFrame, path: str, key: str, values: Iterable[str], files: int | None = None,
+                codec: str = "snappy") -> str:
+    """Overwrite a parquet table partitioned by a text column of a few known values.
+
+    Every part is a pass of its own over ``df``, which should be cheap to read again, so rows go to their
+    files as they come; one pass for all parts would have every task sort its rows by part, on disk
+    where they are many. Rows with other values are not written.
+    """
+    remove_folder(df.sparkSession, path)
+    for value in values:
+        part = df.filter(F.col(key) == value).drop(key)
+        at = "".join(f"%{ord(c):02X}" if c < " " or c in "\"#%'*/:=?\\{[]^\x7f" else c for c in value)
+        write_table(part, run_path(path, **{key: at}), files, codec)
+    return path
+
+
 def write_partitions(df: DataFrame, path: str, keys: list[str], codec: str = "snappy") -> str:
     """Write into a table partitioned by the keys; only partitions that the rows belong to are
     replaced, so a rerun of one run leaves the others as they are. Without rows nothing changes."""
