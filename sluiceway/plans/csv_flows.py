@@ -24,7 +24,7 @@ from sluiceway.operators.stats import (
     log_columns,
     top_classes,
 )
-from sluiceway.sources import lineage_cut, read_csv_union, save_model, write_table
+from sluiceway.sources import lineage_cut, read_csv_union, save_model, write_parts
 from sluiceway.specs import CSV_LABEL, CSV_TARGET, THREE_WAY, Split
 
 _COPIES, _BAD, _SPLIT = "__copies", "__malformed", "split"
@@ -91,7 +91,7 @@ def prepare_csv_flows(
     df = df.drop(*dropped)
     model = csv_flow_stages(df).fit(fit_rows(df))
     vectors = model.transform(df).select("features", CSV_TARGET, CSV_LABEL, _SPLIT)
-    write_table(vectors, f"{out}/flows", files, partition_by=[_SPLIT])
+    write_parts(vectors, f"{out}/flows", _SPLIT, split.parts, files)
     if save_stages:
         save_model(model, f"{out}/stages")
     flows = spark.read.parquet(f"{out}/flows")
