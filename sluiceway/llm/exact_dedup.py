@@ -39,6 +39,14 @@ class DigestIndex:
         )
         return cls(spark, name, path, buckets)
 
+    @classmethod
+    def create(cls, spark: SparkSession) -> DigestIndex:
+        """A new index in the shared folder, of as many buckets as the session has shuffle partitions, 64 at
+        least. A session that deals rows out more widely than an index has buckets could write every bucket
+        from every task."""
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return cls.open(spark, shared_dir(spark, "digests"), max(INDEX_BUCKETS, least))
+
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
@@ -89,7 +97,7 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_
     Null texts count as empty; other columns are not read. An empty batch gives no rows.
     """
     if index is None:
-        index = DigestIndex.open(docs.sparkSession, shared_dir(docs.sparkSession, "digests"))
+        index = DigestIndex.create(docs.sparkSession)
     batch = digests(docs, id_col, text_col)
     index.add(batch)
     return decide([batch], index)
