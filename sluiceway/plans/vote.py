@@ -61,6 +61,9 @@ def train_vote(
     rows = index_model.transform(rows).select(
         "features", "label", "category_label", "mcWeight", "binWeight"
     )
+    # Written by size: what the joins of the weights leave has a partition per shuffle partition, and each
+    # of the fits' many passes would send a task result for every one of them to the driver.
+    rows = lineage_cut(rows, spread=spread)
     started = time.monotonic()
     with persisted(rows) as ready:
         rf = forest(preset, "category_label", weight="mcWeight", **over.get("rf", {}))
