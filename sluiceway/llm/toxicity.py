@@ -198,7 +198,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = textops.batch_bytes(batch.column(1))
         numbers = []
-        for lo, hi in textops.slices(offsets):
+        for lo, hi in textops.slices(offsets, textops.SHORT_SLICE_BYTES):
             part = data[offsets[lo] : offsets[hi]]
             found, words = features(part, offsets[lo : hi + 1] - offsets[lo])
             for i in range(hi - lo):
@@ -214,7 +214,7 @@ def reaches(column: pa.Array, model: OrdinalModel) -> np.ndarray:
     """P(grade >= k) of every text of a batch, one column per threshold."""
     data, offsets = textops.batch_bytes(column)
     sums = np.zeros(len(offsets) - 1)
-    for lo, hi in textops.slices(offsets):
+    for lo, hi in textops.slices(offsets, textops.SHORT_SLICE_BYTES):
         part = data[offsets[lo] : offsets[hi]]
         found, words = features(part, offsets[lo : hi + 1] - offsets[lo])
         for i in range(hi - lo):
@@ -252,11 +252,12 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id",
 
 def keep_clean(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
                reject_from: float = REJECT_FROM) -> DataFrame:
-    """The documents whose probability of any toxicity is below ``reject_from``, all columns as is."""
-    at = docs.columns.index(text_col)
+    """The documents whose probability of any toxicity is below ``reject_from``, all columns as is.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(reaches(batch.column(at), model)[:, 0] < reject_from))
+    Only texts go to Python, and one flag a row comes back: rows with whole texts are not sent back.
+    """
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array(reaches(texts, model)[:, 0] < reject_from)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(clean(text_of(text_col)))
