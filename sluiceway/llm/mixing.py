@@ -95,7 +95,7 @@ def fill(nodes: DataFrame, parents: DataFrame) -> DataFrame:
     while width:
         tried = (
             nodes.join(state, "group")
-            .select("*", F.explode(F.sequence(F.lit(1), F.lit(STEPS - 1))).alias("k"))
+            .select("*", F.explode(F.sequence(*[F.lit(k).cast("long") for k in (1, STEPS - 1)])).alias("k"))
             .groupBy("group", "budget", "level", "k")
             .agg(F.sum(held(F.col("level") + F.col("k") * width)).alias("s"))
         )
